@@ -305,6 +305,7 @@ def flag_implausible(
     order = ["src", "block", "t", *[f"m{i}" for i in range(len(measures))], "id"]
     flagged = (
         blocks.select(*order)
+        .distinct()  # copies go before the shuffle by block
         .repartition("src", "block")
         .sortWithinPartitions(*order)
         .mapInArrow(_flagger(measures, limits), "id long, field string, reason string, value double")

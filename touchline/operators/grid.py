@@ -87,8 +87,8 @@ def regular_grid(
     for n in v:
         finite = finite & ~F.isnan(n) & (F.abs(n) != F.lit(float("inf")))
     slots = (
-        usable.repartition("_src", SHARD)
-        .dropDuplicates(["_src", SHARD, "_slot", "_t", *v])
+        usable.distinct()  # copies go before the shuffle by shard
+        .repartition("_src", SHARD)
         .groupBy("_src", SHARD, "_slot")
         .agg(F.count(F.lit(1)).alias("_n"), *[F.avg(F.when(finite, F.col(n))).alias(n) for n in v])
     )

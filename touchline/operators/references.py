@@ -8,6 +8,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from touchline.operators.lookup import lookup_join
+from touchline.session import written
+
 #: Keys of one range, the bits of a long.
 WORD_BITS = 6
 #: Length of a bitmap's period. Short periods leave few candidates for the exact check.
@@ -55,7 +58,8 @@ def orphan_references(references: Sequence[Reference], parents: dict[str, DataFr
     Keys are integers (see `dictionary` for others). References are gathered into bitmaps per field, key range and
     period, parents into bitmaps per key range and period of creation, of which a range has at most 64. AND NOT with
     all parents leaves missing keys; AND NOT with the parents of earlier periods leaves keys that may be late, which an
-    exact comparison of the two creation times decides. Surviving bits are decoded into keys and meet their rows.
+    exact comparison of the two creation times decides. Surviving bits are decoded into keys, written to the shared
+    folder, and meet their rows; the referring rows themselves aren't shuffled while the survivors are few.
 
     Nulls: a null reference is none; a null creation time of the row or of all versions of its parent is never late.
     Empty tables give no rows, except that all references to an empty parent table are missing.
@@ -111,8 +115,8 @@ def orphan_references(references: Sequence[Reference], parents: dict[str, DataFr
     decoded = survivors.withColumn("b", F.explode(F.expr("filter(sequence(0, 63), b -> (shiftright(bits, b) & 1L) = 1L)"))).select(
         "ref_table", "ref_field", "target", "period", "absent", (F.shiftleft("word", WORD_BITS) + F.col("b")).alias("key")
     )
-    candidates = decoded.join(known, ["target", "key"], "left").drop("target")
-    rows = refs.drop("target").join(candidates, ["ref_table", "ref_field", "key", "period"])
+    candidates = written(decoded.join(known, ["target", "key"], "left").drop("target"), "orphans")
+    rows = lookup_join(refs.drop("target"), candidates, ["ref_table", "ref_field", "key", "period"])
     late = F.coalesce(F.col("born") > F.col("created_at"), F.lit(False))
     return (
         rows.where(F.col("absent") | late)
