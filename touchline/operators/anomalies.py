@@ -143,9 +143,10 @@ def flag_measure(m: Measure, source: np.ndarray, time: np.ndarray, value: np.nda
     if not len(value):
         return reason
     step = np.ones(len(value))
-    first = np.concatenate([[True], source[1:] != source[:-1]])
     if m.per_time:
-        step = np.where(first, 1.0, np.maximum(np.diff(time, prepend=time[0]), 1)).astype(float)
+        first = np.concatenate([[True], source[1:] != source[:-1]])
+        # the time before a source's first reading isn't known: it is neither beyond a rate nor a spike
+        step = np.where(first, np.inf, np.maximum(np.diff(time, prepend=time[0]), 1))
     with np.errstate(invalid="ignore"):
         impossible = present & ~(np.isfinite(value) & (value >= 0) & (value <= m.highest * step + m.slack))
         sound = present & np.isfinite(value) & (value > 0)
@@ -153,7 +154,7 @@ def flag_measure(m: Measure, source: np.ndarray, time: np.ndarray, value: np.nda
     n_sources = int(source.max()) + 1
 
     # spikes: trend, season, residual, then the ESD test on each source's residuals
-    at = np.flatnonzero(sound & (value <= 10 * (m.highest * step + m.slack)))
+    at = np.flatnonzero(sound & np.isfinite(step) & (value <= 10 * (m.highest * step + m.slack)))
     if len(at):
         src, t = source[at], time[at]
         x = np.log(value[at] / step[at])
@@ -232,10 +233,10 @@ def _flagger(measures: Sequence[Measure], lim: Limits, chunk_rows: int = 60_000)
             same &= equal
         head = np.flatnonzero(~same)
         of = np.cumsum(~same) - 1  # the reading that a row repeats
-        copy = same & np.concatenate([[False], ids[1:] == ids[:-1]])
+        shown = (same & np.concatenate([[False], ids[1:] == ids[:-1]])) | ~np.asarray(t["own"])
         for m, v, p in zip(measures, values, present, strict=True):
             reason = flag_measure(m, source[head], time[head], v[head], p[head], lim)[of]
-            hit = np.flatnonzero((reason > 0) & ~copy)
+            hit = np.flatnonzero((reason > 0) & ~shown)
             if len(hit):
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(ids[hit]), pa.array([m.name] * len(hit), pa.string()), pa.array(REASONS[reason[hit]], pa.string()), pa.array(v[hit], pa.float64())],
@@ -301,10 +302,16 @@ def flag_implausible(
         .where(F.col("n") > hot_rows)
         .select("src", "t0", F.greatest(F.ceil((F.col("t1") - F.col("t0") + 1) / F.ceil(F.col("n") / block_rows)), F.lit(1)).alias("span"))
     )
-    blocks = lookup_join(placed, hot, ["src"], "left").withColumn("block", F.coalesce(F.floor((F.col("t") - F.col("t0")) / F.col("span")), F.lit(0)).cast("long"))
+    # rows near a block's border are shown to the block beside it too, as context for trends, steps and runs
+    own = F.coalesce(F.floor((F.col("t") - F.col("t0")) / F.col("span")), F.lit(0)).cast("long")
+    block_at = lambda t: F.floor((t - F.col("t0")) / F.col("span")).cast("long")
+    beside = F.array_distinct(F.array(block_at(F.col("t") - limits.reach), block_at(F.col("t")), block_at(F.col("t") + limits.reach)))
+    blocks = lookup_join(placed, hot, ["src"], "left").withColumn("_own", own)
+    blocks = blocks.withColumn("block", F.explode(F.when(F.col("span").isNull(), F.array(F.lit(0).cast("long"))).otherwise(beside)))
+    blocks = blocks.withColumn("own", F.col("block") == F.col("_own"))
     order = ["src", "block", "t", *[f"m{i}" for i in range(len(measures))], "id"]
     flagged = (
-        blocks.select(*order)
+        blocks.select(*order, "own")
         .distinct()  # copies go before the shuffle by block
         .repartition("src", "block")
         .sortWithinPartitions(*order)

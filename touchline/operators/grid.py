@@ -81,7 +81,8 @@ def regular_grid(
     v = [f"_v{i}" for i in range(len(values))]
     usable = readings.select(
         F.col(source).alias("_src"), F.col(time).cast("long").alias("_t"), *[F.col(c).cast("double").alias(n) for c, n in zip(values, v, strict=True)]
-    ).dropna()
+    )
+    usable = usable.where(" and ".join(f"{c} is not null" for c in usable.columns))
     usable = usable.withColumn("_slot", shard_of(F.col("_t"), step)).withColumn(SHARD, shard_of(F.col("_slot"), SHARD_SLOTS))
     finite = F.lit(True)
     for n in v:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -28,10 +29,7 @@ class Reference:
 
 def dictionary(*keys: DataFrame, buckets: int = 4096) -> DataFrame:
     """Codes for keys that aren't integers: key string, code long. Codes are dense within a bucket of the key's hash."""
-    every = keys[0]
-    for k in keys[1:]:
-        every = every.unionByName(k)
-    every = every.select(F.col(every.columns[0]).cast("string").alias("key")).dropna().distinct()
+    every = reduce(DataFrame.unionByName, [k.select(F.col(k.columns[0]).cast("string").alias("key")) for k in keys]).dropna().distinct()
     bucket = F.pmod(F.xxhash64("key"), F.lit(buckets))
     rank = F.row_number().over(Window.partitionBy("_bucket").orderBy("key"))
     return every.withColumn("_bucket", bucket).select("key", (F.shiftleft(F.col("_bucket"), 40) + rank).alias("code"))
@@ -46,7 +44,7 @@ def _word(key: Column) -> Column:
 
 
 def _bit(key: Column) -> Column:
-    return F.expr(f"shiftleft(1L, cast({key} & 63 as int))") if isinstance(key, str) else F.call_function("shiftleft", F.lit(1).cast("long"), key.bitwiseAND(F.lit(63)).cast("int"))
+    return F.call_function("shiftleft", F.lit(1).cast("long"), key.bitwiseAND(F.lit(63)).cast("int"))
 
 
 def orphan_references(references: Sequence[Reference], parents: dict[str, DataFrame], row_id: str = "id", created: str = "created_at") -> DataFrame:

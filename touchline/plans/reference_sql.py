@@ -141,7 +141,7 @@ ORACLES = {
     "hex_color": f"SELECT id, CASE WHEN team_color IS NOT NULL THEN {HEX} END AS hex, CASE WHEN team_color IS NOT NULL THEN r || ',' || g || ',' || b END AS rgb FROM {RGB.format(PL)}",
     "storage_keys": """SELECT event_id, user_id || '/' || CASE event_type WHEN 'view' THEN 'players/' WHEN 'click' THEN 'heatmaps/' WHEN 'purchase' THEN 'reports/' ELSE '' END
         || event_type || '_' || event_id || '.png' AS key FROM events""",
-    "label_text": f"""SELECT s.id, 'ID: ' || p.track_id || ' |' || CASE WHEN team_color IS NOT NULL THEN {HEX} ELSE 'none' END || '| Conf: ' || printf('%.2f', round(s.confidence, 2)) AS label,
+    "label_text": f"""SELECT s.id, 'ID: ' || p.track_id || ' |' || CASE WHEN team_color IS NOT NULL THEN {HEX} ELSE 'none' END || '| Conf: ' || printf('%.2f', s.confidence) AS label,
         s.player_id || '_' || s.frame_number || '_' || p.track_id AS image_name FROM {ST} s JOIN {RGB.format(PL)} p ON p.id = s.player_id""",
     "enum_map": "SELECT name, name AS value, n FROM (SELECT unnest(['DPT_Large', 'DPT_Hybrid', 'MiDaS_small']) AS name, (SELECT count(*) FROM depth_history) AS n)",
     "crop_slice": """SELECT vec_id, CAST(4*(y - 1) + x AS INTEGER) AS pos, CAST(embedding[8*y + 2 + x + 1] AS DOUBLE) AS x FROM embeddings, (SELECT unnest(range(1, 4)) AS y), (SELECT unnest(range(0, 4)) AS x)""",
