@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from touchline.operators.ordered import SHARD, shard_of, with_neighbours
+from touchline.session import written
 
 #: Slots of one shard of an entity, and of one piece of a long gap.
 SHARD_SLOTS = 64
@@ -88,11 +89,11 @@ def regular_grid(
     for n in v:
         finite = finite & ~F.isnan(n) & (F.abs(n) != F.lit(float("inf")))
     slots = (
-        usable.distinct()  # copies go before the shuffle by shard
-        .repartition("_src", SHARD)
+        usable.distinct()  # copies go before the slots are formed
         .groupBy("_src", SHARD, "_slot")
         .agg(F.count(F.lit(1)).alias("_n"), *[F.avg(F.when(finite, F.col(n))).alias(n) for n in v])
     )
+    slots = written(slots, "slots")  # both the sums and the rows below read them
 
     size = 2 + 2 * harmonics
     slot_period = F.lit(period / step)
