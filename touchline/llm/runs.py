@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from touchline.operators.ordered import SHARD, shard_of
+from touchline.session import written
 
 #: Time units of one shard of an entity. Must exceed the gap limit.
 WIDTH = 4096
@@ -158,7 +159,7 @@ def collapse_runs(
     within `max_gap` and `max_distance`, see `agglomerate`.
 
     An entity is cut into shards of time, agglomerated on their own; the runs that meet at a border are then merged if
-    gap and distance allow, from left to right. With max_distance 0 that equals agglomeration of the whole sequence;
+    gap and distance allow, from left to right. The shards' runs are written to the shared folder between the two. With max_distance 0 that equals agglomeration of the whole sequence;
     with a larger one, runs near a border may merge in another order.
 
     Rows with a null key, time or value are no events. An empty table gives no rows; other columns are ignored.
@@ -176,9 +177,11 @@ def collapse_runs(
         events = smooth_flickers(events, max_span)
     else:
         events = events.repartition("key", SHARD)  # the window of the smoothing has done so already
-    runs = (
-        events.sortWithinPartitions("key", SHARD, "t")
-        .mapInArrow(_collapser(max_gap, max_distance), f"key long, {SHARD} long, no int, size int, first long, last long, n long, mean double")
+    runs = written(
+        events.sortWithinPartitions("key", SHARD, "t").mapInArrow(
+            _collapser(max_gap, max_distance), f"key long, {SHARD} long, no int, size int, first long, last long, n long, mean double"
+        ),
+        "runs",
     )
     inner = runs.where("no > 0 and no < size - 1").select("key", "first", "last", "n", "mean")
     # border runs: at most two per shard take part in the window over the entity
