@@ -154,3 +154,15 @@ def test_timer(tmp_path, spark):
         t.stop("b")
     t.publish(str(tmp_path / "t.json"))
     assert spark.read.json(str(tmp_path / "t.json"), multiLine=True).select("stats.a.count").first()[0] == 1
+
+
+def test_merges_of_the_tracklet_fixture(spark, data):
+    """Counts and the first merge were worked out beforehand for these formulas."""
+    from touchline.sources.files import tracklets
+    from touchline.sources.tables import table
+
+    states = tracklets(table(spark, data, "events")).where("event_type <> 'error'")
+    players = states.select(F.col("player_id").alias("id"), "match_id", "track_id", "team_color").distinct()
+    out = reid.merge_map(reid.candidates(reid.track_summaries(states, players))).orderBy("member").collect()
+    assert len(out) == 50
+    assert (out[0].member, out[0].root) == (23, 16) and out[0].score == pytest.approx(14.400492, abs=1e-6)

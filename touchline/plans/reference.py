@@ -12,7 +12,7 @@ from touchline.functions import geometry as G
 from touchline.functions import text as X
 from touchline.operators import bands, detection, reid, reports, series, vectors, versions
 from touchline.operators.lookup import lookup_join
-from touchline.session import shared_dir
+from touchline.session import shared_dir, written
 from touchline.sources.files import goal_frames, stream
 from touchline.sources.tables import table
 from touchline.streaming import stateful
@@ -131,8 +131,13 @@ def _summaries(s, d):
     return reid.track_summaries(_states(s, d), _players(s, d))
 
 
+def _pairs(s, d):
+    # both sides of the pairs read the summaries, which cost the only pass over the states
+    return reid.candidates(written(_summaries(s, d), "tracks"))
+
+
 def _merges(s, d):
-    return reid.merge_map(reid.candidates(_summaries(s, d)))
+    return written(reid.merge_map(_pairs(s, d)), "merges")
 
 
 def centroids(s, d):
@@ -156,11 +161,11 @@ def color_distance(s, d):
 
 
 def reid_candidates(s, d):
-    return reid.candidates(_summaries(s, d)).select("match_id", "inc_player_id", "cor_player_id", "gap", *[F.round(c, 6).alias(c) for c in ("color_distance", "distance", "score")])
+    return _pairs(s, d).select("match_id", "inc_player_id", "cor_player_id", "gap", *[F.round(c, 6).alias(c) for c in ("color_distance", "distance", "score")])
 
 
 def reid_merge_map(s, d):
-    return _merges(s, d).withColumn("score", F.round("score", 6))
+    return reid.merge_map(_pairs(s, d)).withColumn("score", F.round("score", 6))
 
 
 def reid_merged_states(s, d):
@@ -271,7 +276,7 @@ def depth_gate(s, d):
 
 
 def depth_constant(s, d):
-    return table(s, d, "depth_history").distinct().select("id", F.round(F.col("depth") * F.col("pixels_to_meters") * F.col("camera_scale"), 9).alias("constant"))
+    return table(s, d, "depth_history").distinct().select("id", (F.col("depth") * F.col("pixels_to_meters") * F.col("camera_scale")).alias("constant"))
 
 
 def bbox_clamp(s, d):

@@ -125,7 +125,7 @@ ORACLES = {
               ((CASE WHEN e.ls <> 0 THEN abs(x.s - e.ls)/e.ls ELSE 0 END) > 0.05e0 OR x.frame_num - e.lf >= 250) AS fire
             FROM e JOIN x ON x.match_id = e.match_id AND x.k = e.k + 1)
         ) SELECT match_id, frame_num, fired FROM e""",
-    "depth_constant": "SELECT id, round(depth*pixels_to_meters*camera_scale, 9) AS constant FROM (SELECT DISTINCT * FROM depth_history)",
+    "depth_constant": "SELECT id, depth*pixels_to_meters*camera_scale AS constant FROM (SELECT DISTINCT * FROM depth_history)",
     "bbox_clamp": f"""SELECT * FROM (SELECT id, {", ".join(f"least(greatest(CAST(trunc({c}) AS INTEGER), 0), {m}) AS {c}" for c, m in (("x1", 1920), ("x2", 1920), ("y1", 1080), ("y2", 1080)))}
         FROM {ST} WHERE x1 IS NOT NULL AND y1 IS NOT NULL AND x2 IS NOT NULL AND y2 IS NOT NULL) WHERE x2 > x1 AND y2 > y1""",
     "hip_point": f"""SELECT id, round(CASE WHEN dx_meters IS NOT NULL THEN x1 + 0.5e0*(x2-x1) ELSE (x1+x2)/2 END, 6) AS hip_x,
