@@ -54,14 +54,13 @@ def _phrases(text: str) -> list[str]:
     return [" " + fold(p.strip()) + " " for p in text.replace("\n", " ").split(";") if p.strip()]
 
 
-def features(rows: list[str], bits: int = BITS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashed character n-grams of passages: feature numbers, start of each row, value of a feature of each row."""
+def _chunk_features(rows: list[str], bits: int) -> tuple[np.ndarray, np.ndarray]:
     text = "\n".join(rows) + "\n"
     code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
     ends = np.flatnonzero(code == 10)
-    row = np.zeros(len(code), dtype=np.int64)
+    row = np.zeros(len(code), dtype=np.int32)
     row[ends[:-1] + 1] = 1
-    row = np.cumsum(row)
+    row = np.cumsum(row, dtype=np.int32)
     remaining = ends[row] - np.arange(len(code))
     numbers, owners = [], []
     for k in ORDERS:
@@ -76,9 +75,16 @@ def features(rows: list[str], bits: int = BITS) -> tuple[np.ndarray, np.ndarray,
         numbers.append((h[whole] * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - bits)).astype(np.int32))
         owners.append(row[:n][whole])
     number, owner = np.concatenate(numbers), np.concatenate(owners)
-    order = np.argsort(owner, kind="stable")
-    count = np.bincount(owner, minlength=len(rows))
-    return number[order], np.concatenate([[0], np.cumsum(count)]), 1 / np.sqrt(np.maximum(count, 1))
+    return number[np.argsort(owner, kind="stable")], np.bincount(owner, minlength=len(rows))
+
+
+def features(rows: list[str], bits: int = BITS, chunk: int = 4000) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashed character n-grams of passages: feature numbers, start of each row, value of a feature of each row."""
+    if not rows:
+        return np.empty(0, np.int32), np.zeros(1, np.int64), np.empty(0)
+    parts = [_chunk_features(rows[at : at + chunk], bits) for at in range(0, len(rows), chunk)]
+    count = np.concatenate([c for _, c in parts])
+    return np.concatenate([n for n, _ in parts]), np.concatenate([[0], np.cumsum(count)]), 1 / np.sqrt(np.maximum(count, 1))
 
 
 def _sums(w: np.ndarray, number: np.ndarray, start: np.ndarray, value: np.ndarray) -> np.ndarray:
@@ -118,7 +124,7 @@ def _fit(rows: list[str], label: np.ndarray, weight: np.ndarray, swapped: dict[i
     """Logistic regression by AdaGrad; `swapped` holds rows with an identity term exchanged, whose score mustn't change."""
     number, start, value = features(rows)
     pair_rows = sorted(swapped)
-    pn, ps, pv = features([swapped[i] for i in pair_rows]) if pair_rows else (number[:0], np.zeros(1, int), value[:0])
+    pn, ps, pv = features([swapped[i] for i in pair_rows])
     pair_of = {r: k for k, r in enumerate(pair_rows)}
     w, g2 = np.zeros(1 << BITS), np.full(1 << BITS, 1e-6)
     b = BIAS
@@ -152,19 +158,39 @@ def _fit(rows: list[str], label: np.ndarray, weight: np.ndarray, swapped: dict[i
     return w, b
 
 
-def _swap(row: str, rng: random.Random) -> str | None:
+def group_terms(rows: list[str], least: int = 3, most: int = 60) -> list[list[str]]:
+    """Sets of exchangeable identity terms: the fixed ones by language, each with words found in their place.
+
+    A word belongs to a language's set if it stands between the same two neighbours as its terms in at least `least`
+    different places of the given passages, so names of groups that no list knows are exchanged too.
+    """
+    out = []
+    for names in GROUPS.values():
+        known = {fold(w) for w in names.split()}
+        places: set[tuple[str, str]] = set()
+        split = [["", *r.split(), ""] for r in rows]
+        for w in split:
+            places |= {(w[i - 1], w[i + 1]) for i in range(1, len(w) - 1) if w[i] in known}
+        met: dict[str, set] = defaultdict(set)
+        for w in split:
+            for i in range(1, len(w) - 1):
+                if w[i] not in known and len(w[i]) > 3 and (w[i - 1], w[i + 1]) in places:
+                    met[w[i]].add((w[i - 1], w[i + 1]))
+        extra = sorted((w for w, p in met.items() if len(p) >= least), key=lambda w: (-len(met[w]), w))[:most]
+        out.append(sorted(known) + extra)
+    return out
+
+
+def _swap(row: str, terms: list[list[str]], rng: random.Random) -> str | None:
     words = row.split()
     for i, word in enumerate(words):
-        for names in _GROUP_SETS:
+        for names in terms:
             if word in names:
                 words[i] = rng.choice([n for n in names if n != word])
                 return " " + " ".join(words) + " "
     return None
 
 
-_GROUP_SETS = [sorted({fold(w) for w in names.split()}) for names in GROUPS.values()]
-
-
 def _disguise(row: str, rng: random.Random) -> str:
     """A passage with some words misspelt: a letter hidden, two exchanged, or one lost."""
     words = row.split()
@@ -197,6 +223,20 @@ def _posterior(votes: list[list[tuple[str, int]]], prior: np.ndarray, rounds: in
     return p
 
 
+def _patterns(split: list[list[str]], rare: float = 0.006) -> dict[str, str]:
+    """Passage to pattern: words of few texts, as names are, become blanks, if three other words remain."""
+    seen: dict[str, int] = defaultdict(int)
+    for rows in split:
+        for w in {w for r in rows for w in r.split()}:
+            seen[w] += 1
+    least = max(3.0, rare * len(split))
+    out = {}
+    for r in {r for rows in split for r in rows}:
+        words = [w if seen[w] >= least else "_" for w in r.split()]
+        out[r] = " ".join(words) if sum(w != "_" for w in words) >= 3 else r
+    return out
+
+
 def train(texts: list[str | None], votes: list[list[tuple[str, int]]], max_passages: int = 60_000, fairness: float = 1.0, seed: int = 7) -> Model:
     """Fit the passage model to labelled texts.
 
@@ -212,11 +252,15 @@ def train(texts: list[str | None], votes: list[list[tuple[str, int]]], max_passa
     p = _posterior(votes, np.full(n, base))
     seeds = [(r, 1.0) for r in _phrases(SEED)] + [(r, 0.0) for r in _phrases(CALM)]
     best: list[np.ndarray | None] = [None] * n
+    pattern = _patterns(split)
+    terms = group_terms(sorted({r for rows in split for r in rows}))
 
     def examples(use: np.ndarray) -> tuple[list[str], np.ndarray, np.ndarray]:
         # evidence of each distinct passage for and against being a case
         plus: dict[str, float] = defaultdict(float)
         minus: dict[str, float] = defaultdict(float)
+        pattern_plus: dict[str, float] = defaultdict(float)
+        pattern_minus: dict[str, float] = defaultdict(float)
         for i in np.flatnonzero(use):
             for r in set(split[i]):
                 minus[r] += max(0.0, 1 - 2 * p[i])
@@ -236,12 +280,15 @@ def train(texts: list[str | None], votes: list[list[tuple[str, int]]], max_passa
                         plus[r] += q
                     elif best[i][k] < 0.2:
                         minus[r] += 0.5
+        for r in {*plus, *minus}:
+            pattern_plus[pattern[r]] += plus[r]
+            pattern_minus[pattern[r]] += minus[r]
         items = []
         for r in sorted({*plus, *minus}):
-            total = plus[r] + minus[r]
+            total, k = plus[r] + minus[r], pattern[r]
             if total > 0.02:
-                share = plus[r] / total  # passages that mostly stand in clean texts are clean
-                items.append((r, share if share > 0.35 else 0.0, min(3.0, total)))
+                share = pattern_plus[k] / (pattern_plus[k] + pattern_minus[k])  # patterns that mostly stand in clean texts are clean
+                items.append((r, share if share > 0.35 else 0.0, min(1.0, total) * (1 + np.log2(max(1.0, total)))))
         positive, negative = [x for x in items if x[1] > 0.5], [x for x in items if x[1] <= 0.5]
         if len(negative) > max_passages:
             negative = rng.sample(negative, max_passages)
@@ -254,7 +301,7 @@ def train(texts: list[str | None], votes: list[list[tuple[str, int]]], max_passa
 
     def fitted(use: np.ndarray) -> Model:
         rows, label, weight = examples(use)
-        swapped = {i: s for i, r in enumerate(rows) if (s := _swap(r, rng)) is not None}
+        swapped = {i: s for i, r in enumerate(rows) if (s := _swap(r, terms, rng)) is not None}
         return Model(*_fit(rows, label, weight, swapped, fairness, seed=seed), 0.5)
 
     out_of_fold = np.zeros(n)
