@@ -32,7 +32,8 @@ def _states(s: SparkSession, d: str, columns: list[str] = STATE) -> DataFrame:
 
 
 def _balls(s: SparkSession, d: str) -> DataFrame:
-    return table(s, d, "ball_states").select(*BALL).distinct()
+    """One row per ball sighting: copies share their id."""
+    return versions.first_per_key(table(s, d, "ball_states").select(*BALL), ["id"])
 
 
 def _matches(s: SparkSession, d: str) -> DataFrame:
@@ -202,12 +203,12 @@ def _report(s, d):
 
 
 def detection_report(s, d):
-    return _report(s, d).drop("bbox")
+    return _report(s, d)
 
 
 def report_boxes(s, d):
     """Boxes of the report's balls as text; whole numbers keep one decimal."""
-    return _balls(s, d).select("id", X.box_text(*[F.round(F.col(c), 1) for c in ("x1", "y1", "x2", "y2")]).alias("bbox"))
+    return _balls(s, d).select("id", X.box_text(*[F.col(c) for c in ("x1", "y1", "x2", "y2")]).alias("bbox"))
 
 
 def recognition_frequency(s, d):

@@ -49,11 +49,12 @@ MERGES = f"""(SELECT match_id, member, root, score FROM (
     row_number() OVER (PARTITION BY inc_player_id ORDER BY score, cor_frame_start, cor_player_id) AS rn FROM {PAIRS} WHERE score <= 20
 ) WHERE rn = 1)"""
 MERGED = f"(SELECT s.id, coalesce(m.root, s.player_id) AS player_id, s.frame_number FROM {ST} s LEFT JOIN {MERGES} m ON m.member = s.player_id)"
+BOX = "concat_ws(', ', " + ", ".join(f"coalesce(CAST({c} AS VARCHAR), 'None')" for c in ("x1", "y1", "x2", "y2")) + ")"
 REPORT = f"""(
-  SELECT match_id, frame_number, 'goal' AS object_type, 0 AS track_id, confidence, CAST(NULL AS VARCHAR) AS shirt_color, CAST(NULL AS VARCHAR) AS shirt_number,
+  SELECT match_id, frame_number, 'goal' AS object_type, 0 AS track_id, {BOX} AS bbox, confidence, CAST(NULL AS VARCHAR) AS shirt_color, CAST(NULL AS VARCHAR) AS shirt_number,
     CAST(NULL AS DOUBLE) AS speed, CAST(NULL AS DOUBLE) AS distance, timestamp FROM {GO}
-  UNION ALL SELECT match_id, frame_number, 'ball', 0, confidence, NULL, NULL, NULL, NULL, timestamp FROM {BA}
-  UNION ALL SELECT p.match_id, s.frame_number, 'player', p.track_id, s.confidence, p.team_color, coalesce(CAST(p.shirt_number AS VARCHAR), 'None'),
+  UNION ALL SELECT match_id, frame_number, 'ball', 0, {BOX}, confidence, NULL, NULL, NULL, NULL, timestamp FROM {BA}
+  UNION ALL SELECT p.match_id, s.frame_number, 'player', p.track_id, {BOX}, s.confidence, p.team_color, coalesce(CAST(p.shirt_number AS VARCHAR), 'None'),
     s.speed_kmh, s.distance_meters, s.timestamp FROM {ST} s JOIN {PL} p ON p.id = s.player_id)"""
 NUMBERED = f"(SELECT * FROM {REPORT} WHERE object_type = 'player' AND shirt_number <> 'None')"
 LAGGED = f"""(SELECT *, lag(frame_number) OVER w AS pf, lag(dx_meters) OVER w - dx_meters AS ex, lag(dy_meters) OVER w - dy_meters AS ey
@@ -99,7 +100,7 @@ ORACLES = {
           WHERE x1 IS NOT NULL AND y1 IS NOT NULL AND x2 IS NOT NULL AND y2 IS NOT NULL) s
         ON s.match_id = d.match_id AND s.frame_number BETWEEN greatest(d.frame_num - 20, 1) AND d.frame_num + 20 GROUP BY 1, 2""",
     "detection_report": f"SELECT * FROM {REPORT}",
-    "report_boxes": "SELECT DISTINCT id, concat_ws(', ', " + ", ".join(f"coalesce(CAST(round({c}, 1) AS VARCHAR), 'None')" for c in ("x1", "y1", "x2", "y2")) + f") AS bbox FROM {BA}",
+    "report_boxes": "SELECT DISTINCT id, concat_ws(', ', " + ", ".join(f"coalesce(CAST({c} AS VARCHAR), 'None')" for c in ("x1", "y1", "x2", "y2")) + f") AS bbox FROM {BA}",
     "recognition_frequency": f"SELECT shirt_number, count(*) AS frequency FROM {NUMBERED} GROUP BY 1",
     "average_confidence": f"SELECT shirt_number, round(avg(confidence), 6) AS avg_confidence FROM {NUMBERED} GROUP BY 1",
     "tracking_persistence": f"SELECT shirt_number, max(frame_number) - min(frame_number) AS persistence FROM {NUMBERED} GROUP BY 1",
