@@ -145,10 +145,11 @@ def flag_measure(m: Measure, source: np.ndarray, time: np.ndarray, value: np.nda
     step = np.ones(len(value))
     if m.per_time:
         first = np.concatenate([[True], source[1:] != source[:-1]])
-        # the time before a source's first reading isn't known: it is neither beyond a rate nor a spike
+        # the time before a source's first reading isn't known: it is no spike, and its range is that of `reach`
         step = np.where(first, np.inf, np.maximum(np.diff(time, prepend=time[0]), 1))
     with np.errstate(invalid="ignore"):
-        impossible = present & ~(np.isfinite(value) & (value >= 0) & (value <= m.highest * step + m.slack))
+        known = np.where(np.isfinite(step), step, lim.reach)
+        impossible = present & ~(np.isfinite(value) & (value >= 0) & (value <= m.highest * known + m.slack))
         sound = present & np.isfinite(value) & (value > 0)
         reason[impossible] = 1
     n_sources = int(source.max()) + 1

@@ -64,6 +64,83 @@ def accepted(detections: DataFrame, classes: Sequence[int], least_confidence: fl
     return detections.withColumn("confidence", confidence).where(F.col("class_id").isin(list(classes)) & (F.col("confidence") >= least_confidence))
 
 
+def overlap(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Intersection over union of each box of a with each of b."""
+    low, high = np.maximum(a[:, None, :2], b[None, :, :2]), np.minimum(a[:, None, 2:], b[None, :, 2:])
+    inner = np.clip(high - low, 0, None).prod(-1)
+    area = lambda x: np.clip(x[:, 2:] - x[:, :2], 0, None).prod(-1)
+    return inner / np.maximum(area(a)[:, None] + area(b)[None] - inner, 1e-9)
+
+
+def _by_frame(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Whole frames of rows that are sorted by match and frame."""
+    rest = None
+    for b in batches:
+        b = b if rest is None else pd.concat([rest, b], ignore_index=True)
+        new = (b["match_id"] != b["match_id"].shift()) | (b["frame_num"] != b["frame_num"].shift())
+        starts = np.flatnonzero(new.to_numpy())
+        for a, z in zip(starts[:-1], starts[1:], strict=True):
+            yield b.iloc[a:z]
+        rest = b.iloc[starts[-1] :] if len(starts) else None
+    if rest is not None:
+        yield rest
+
+
+def suppress(detections: DataFrame, limit: float = 0.5) -> DataFrame:
+    """Keep, per match, frame and class, the most confident of boxes that overlap by more than `limit`."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in _by_frame(batches):
+            keep = []
+            for _, g in f.groupby("class_id"):
+                g = g.sort_values(["confidence", "x1", "y1"], ascending=[False, True, True])
+                boxes, open_ = g[["x1", "y1", "x2", "y2"]].to_numpy(float), np.ones(len(g), bool)
+                iou = overlap(boxes, boxes)
+                for i in range(len(g)):
+                    if open_[i]:
+                        open_[i + 1 :] &= iou[i, i + 1 :] <= limit
+                keep.append(g[open_])
+            yield pd.concat(keep)
+
+    return detections.repartition("match_id", "frame_num").sortWithinPartitions("match_id", "frame_num").mapInPandas(run, DETECTION)
+
+
+def track(detections: DataFrame, buffer: int = 150, least_overlap: float = 0.2) -> DataFrame:
+    """Give detections without a track number one by overlap with the last boxes of the match's tracks.
+
+    Frames of a match are read in order; the state is the last box of each track seen within `buffer` frames. Numbers
+    already given stay. A stand-in for a tracker with a motion model, whose results it doesn't claim to equal.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        match, tracks, following = None, {}, 1
+        for f in _by_frame(batches):
+            f = f.copy()
+            if f["match_id"].iloc[0] != match:
+                match, tracks, following = f["match_id"].iloc[0], {}, 1
+            now = int(f["frame_num"].iloc[0])
+            tracks = {k: v for k, v in tracks.items() if now - v[1] <= buffer}
+            following = max(following, int(f["track_id"].max()) + 1)
+            given = set(f["track_id"])
+            boxes = f[["x1", "y1", "x2", "y2"]].to_numpy(float)
+            ids = f["track_id"].to_numpy().copy()
+            free = [k for k in tracks if k not in given]
+            if free and (ids == 0).any():
+                iou = overlap(boxes, np.array([tracks[k][0] for k in free]))
+                iou[ids != 0] = -1
+                while iou.size and iou.max() >= least_overlap:
+                    i, j = np.unravel_index(iou.argmax(), iou.shape)
+                    ids[i] = free[j]
+                    iou[i, :], iou[:, j] = -1, -1
+            for i in np.flatnonzero(ids == 0):
+                ids[i], following = following, following + 1
+            tracks |= {int(k): (b, now) for k, b in zip(ids, boxes, strict=True)}
+            yield f.assign(track_id=ids.astype("int32"))
+
+    order = ["match_id", "frame_num", "class_id", "x1", "y1"]
+    return detections.select(*[c.split()[0] for c in DETECTION.split(", ")]).repartition("match_id").sortWithinPartitions(*order).mapInPandas(run, DETECTION)
+
+
 def stub_model() -> Detect:
     """A deterministic stand-in for a model: one box per frame, from the frame's number."""
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Rows up to which a narrow lookup side is broadcast; beyond it the join is salted.
@@ -12,6 +12,11 @@ BROADCAST_ROWS = 200_000
 SALTS = 16
 
 
+def both(first: Column, second: Column, compat: bool = False) -> Column:
+    """Conjunction of two conditions; with `compat`, only the first, as a lookup that loses its second condition."""
+    return first if compat else first & second
+
+
 def lookup_join(
     large: DataFrame,
     lookup: DataFrame,

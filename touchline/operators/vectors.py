@@ -27,6 +27,15 @@ def crop(v: Column, width: int, x1: int, y1: int, x2: int, y2: int) -> Column:
     return F.flatten(F.transform(F.sequence(F.lit(y1), F.lit(y2 - 1)), lambda y: F.slice(v, y * width + (x1 + 1), x2 - x1)))
 
 
+def torso(box: tuple[float, float, float, float], height: int, width: int) -> tuple[int, int, int, int]:
+    """Bounds of the torso: from 15 to 50 % of the frame's height below the box's top, a quarter of its width in from either side.
+
+    The shares are of the frame, not of the box, as the crop is defined.
+    """
+    x1, y1, x2, _ = box
+    return int(x1 + width * 0.25), int(y1 + height * 0.15), int(x2 - width * 0.25), int(y1 + height * 0.50)
+
+
 def pick_cluster(points: DataFrame, group: str, width: float) -> DataFrame:
     """The cluster nearest the top centre of each image, with the median of its colour.
 

@@ -35,7 +35,11 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """Write `df` as a table in the shared folder and read it back: cuts the lineage and survives the loss of executors."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    """Write `df` as a table in the shared folder and read it back: cuts the lineage and survives the loss of executors.
+
+    Tables lie in a folder named by the application, which may be deleted when the application has ended.
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
