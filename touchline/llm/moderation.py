@@ -332,13 +332,21 @@ def train(texts: list[str | None], votes: list[list[tuple[str, int]]], max_passa
 def fit_moderation(documents: DataFrame, labels: DataFrame, max_documents: int = 8_000, **settings) -> Model:
     """Train on labelled documents; of more than `max_documents`, those with the smallest hash of their id are taken.
 
-    Null labels and labels of documents that don't exist are left out. Without any label the model rests on its seed
+    An annotator has one vote on a document, the more frequent of its labels. Null labels and labels of documents that
+    don't exist are left out. Without any label the model rests on its seed
     phrases alone.
     """
-    votes = labels.where("doc_id is not null and abusive is not null").groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("annotator", F.lit("")).alias("who"), F.col("abusive").cast("int").alias("y")))).alias("votes"))
-    votes = votes.withColumn("votes", F.slice("votes", 1, 64)).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_documents)
+    votes = (
+        labels.where("doc_id is not null and abusive is not null")
+        .groupBy("doc_id", F.coalesce("annotator", F.lit("")).alias("who"))
+        .agg((F.avg(F.col("abusive").cast("double")) >= 0.5).cast("int").alias("y"))
+        .groupBy("doc_id")
+        .agg(F.sort_array(F.collect_list(F.struct("who", "y"))).alias("votes"))
+        .orderBy(F.xxhash64("doc_id"), "doc_id")
+        .limit(max_documents)
+    )
     rows = documents.select("doc_id", "text").join(F.broadcast(votes), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_documents).collect()
-    return train([r["text"] for r in rows], [[(v["who"], int(v["y"] > 0)) for v in r["votes"]] for r in rows], **settings)
+    return train([r["text"] for r in rows], [[(v["who"], v["y"]) for v in r["votes"]] for r in rows], **settings)
 
 
 def _scorer(model: Model, rows: int = 1000):
