@@ -24,11 +24,11 @@ HIDDEN = "*"
 _BROKEN = re.compile("[\u0080-ÿŒœŠšŸŽžƒˆ˜–-›€™]{2,}")
 _INVISIBLE = re.compile("[­͏؜ᅟᅠ឴឵᠋-᠎​-‏‪-‮⁠-⁯ㅤ︀-️﻿ﾠ]")
 _MARKS = re.compile("[̀-ͯ]")
-_DISGUISED = re.compile(r"[a-z0-9@$€£*#_]*(?:[a-z][0-9@$€£*#_]+[a-z]|[0-9@$€£*#_]+[a-z]{2}|[a-z]{2}[@$*#_])[a-z0-9@$€£*#_]*")
+_DISGUISED = re.compile(r"(?<![a-z0-9@$€£*#_])(?=[a-z]+[0-9@$€£*#_]+[a-z]|[0-9@$€£*#_]+[a-z][0-9@$€£*#_]|[0-9@$€£*#_]+[a-z]{2}|[a-z]{2,}[@$*#_])[a-z0-9@$€£*#_]+")
 _MASKS = re.compile(r"[*#_]+")
 _SPACED = re.compile(r"(?<![a-z0-9*])[a-z*](?:(?: ?[.\-_·] ?| )[a-z*]){2,}(?![a-z0-9*])")
 _SEPARATORS = re.compile(r"[ .\-_·]+")
-_REPEATS = re.compile(r"([a-z])\1+")
+_REPEATS = re.compile(r"([a-z])(?=\1)")
 _DIGITS = re.compile(r"[0-9]+")
 _HANDLE = re.compile(r"(?<!\S)@[a-z_]+[0-9]+")
 _BLANKS = re.compile(r"[^\S\n]+")
@@ -63,7 +63,7 @@ def fold(text: str) -> str:
     text = _BLANKS.sub(" ", text.lower().replace("’", "'"))
     text = _DISGUISED.sub(_plain, _HANDLE.sub(" ", text))
     text = _SPACED.sub(lambda m: _SEPARATORS.sub("", m.group()), text)
-    return _DIGITS.sub("0", _REPEATS.sub(r"\1", text))
+    return _DIGITS.sub("0", _REPEATS.sub("", text))
 
 
 def passages(text: str | None, words: int = 16) -> list[str]:
