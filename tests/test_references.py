@@ -42,3 +42,10 @@ def test_report(spark):
 def test_dictionary(spark):
     d = dictionary(spark.createDataFrame([("a",), ("b",), (None,)], "k string"), spark.createDataFrame([("b",), ("c",)], "z string"), buckets=2).collect()
     assert sorted(r.key for r in d) == ["a", "b", "c"] and len({r.code for r in d}) == 3
+
+
+def test_keys_of_text(spark):
+    refs = spark.createDataFrame([(1, at(10), "a"), (2, at(10), "b"), (3, at(10), "c"), (4, at(10), None)], "id long, created_at timestamp, k string")
+    parents = spark.createDataFrame([("a", at(0)), ("c", at(20))], "id string, created_at timestamp")
+    got = orphan_references([Reference("r", refs, (("k", "p"),))], {"p": parents}).collect()
+    assert sorted((r.ref_id, r.kind) for r in got) == [(2, "missing"), (3, "late")]

@@ -8,6 +8,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from touchline.operators.lookup import lookup_join
 from touchline.session import written
@@ -47,13 +48,13 @@ def _bit(key: Column) -> Column:
     return F.call_function("shiftleft", F.lit(1).cast("long"), key.bitwiseAND(F.lit(63)).cast("int"))
 
 
-def orphan_references(references: Sequence[Reference], parents: dict[str, DataFrame], row_id: str = "id", created: str = "created_at") -> DataFrame:
+def orphan_references(references: Sequence[Reference], parents: dict[str, DataFrame], row_id: str = "id", created: str = "created_at", parent_key: str = "id") -> DataFrame:
     """References whose target is missing or was created later.
 
     Columns: ref_table, ref_field, ref_id, kind ("missing" or "late"), created_at of the referring row. One row per
     reference; exact copies count once. A parent's creation is the earliest of its versions.
 
-    Keys are integers (see `dictionary` for others). References are gathered into bitmaps per field, key range and
+    Integer keys are their own codes; if any key is of another type, all are encoded by `dictionary`. References are gathered into bitmaps per field, key range and
     period, parents into bitmaps per key range and period of creation, of which a range has at most 64. AND NOT with
     all parents leaves missing keys; AND NOT with the parents of earlier periods leaves keys that may be late, which an
     exact comparison of the two creation times decides. Surviving bits are decoded into keys, written to the shared
@@ -62,22 +63,24 @@ def orphan_references(references: Sequence[Reference], parents: dict[str, DataFr
     Nulls: a null reference is none; a null creation time of the row or of all versions of its parent is never late.
     Empty tables give no rows, except that all references to an empty parent table are missing.
     """
+    types = [r.rows.schema[f].dataType for r in references for f, _ in r.fields] + [p.schema[parent_key].dataType for p in parents.values()]
+    kind = "long" if all(isinstance(t, IntegralType) for t in types) else "string"
     refs = None
     for r in references:
-        one = r.rows.select(
-            F.lit(r.table).alias("ref_table"),
-            F.col(row_id).cast("long").alias("ref_id"),
-            F.col(created).alias("created_at"),
-            F.inline(F.array(*[F.struct(F.lit(f).alias("ref_field"), F.lit(t).alias("target"), F.col(f).cast("long").alias("key")) for f, t in r.fields])),
-        )
+        pairs = [F.struct(F.lit(f).alias("ref_field"), F.lit(t).alias("target"), F.col(f).cast(kind).alias("key")) for f, t in r.fields]
+        one = r.rows.select(F.lit(r.table).alias("ref_table"), F.col(row_id).cast("long").alias("ref_id"), F.col(created).alias("created_at"), F.inline(F.array(*pairs)))
         refs = one if refs is None else refs.unionByName(one)
     refs = refs.where(F.col("key").isNotNull()).withColumn("period", F.coalesce(_period(F.col("created_at")), F.lit(-1)))
 
     known = None
     for name, df in parents.items():
-        one = df.select(F.lit(name).alias("target"), F.col(row_id).cast("long").alias("key"), F.col(created).alias("born"))
+        one = df.select(F.lit(name).alias("target"), F.col(parent_key).cast(kind).alias("key"), F.col(created).alias("born"))
         known = one if known is None else known.unionByName(one)
     known = known.where("key is not null").groupBy("target", "key").agg(F.min("born").alias("born"))
+    if kind == "string":
+        codes = written(dictionary(refs.select("key"), known.select("key")), "dictionary")
+        refs = lookup_join(refs, codes, ["key"]).drop("key").withColumnRenamed("code", "key")
+        known = lookup_join(known, codes, ["key"]).drop("key").withColumnRenamed("code", "key")
 
     parent_bits = (
         known.groupBy("target", _word(F.col("key")).alias("word"), F.coalesce(_period(F.col("born")), F.lit(-1)).alias("period"))

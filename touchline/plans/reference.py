@@ -370,17 +370,18 @@ def stream_state_dedupe(s, d):
 
 
 def _depth_stream(s, d):
-    rows = stream(s, d, "depth_history").where("match_id is not null and frame_num is not null").select("match_id", "frame_num", "depth", "camera_scale", "id")
-    return rows.dropDuplicates(["id"])
+    return stream(s, d, "depth_history").where("match_id is not null and frame_num is not null").select("id", "match_id", "frame_num", "depth", "camera_scale")
 
 
 def stream_ema(s, d):
-    """Moving average of the measured depths in frame order, every measurement of a frame counted."""
-    return stateful.drain(stateful.moving_average(_depth_stream(s, d).withColumn("key", F.col("frame_num")), "match_id", "frame_num", "depth"), "ema").groupBy("match_id").agg(F.count(F.lit(1)).alias("n"), F.max("frame_num").alias("last_frame"))
+    """The moving average of depth_ema, over a stream."""
+    rows = _depth_stream(s, d).withColumn("x", G.inverse_depth(F.col("depth"), F.lit(1.0)))
+    return stateful.drain(stateful.moving_average(rows, "match_id", "frame_num", "x", "id"), "ema").select("match_id", "frame_num", F.round("ema", 9).alias("ema"))
 
 
 def stream_gate(s, d):
-    return stateful.drain(stateful.gate(_depth_stream(s, d), "match_id", "frame_num", "camera_scale"), "gate").groupBy("match_id").agg(F.count(F.lit(1)).alias("n"))
+    """The gate of depth_gate, over a stream."""
+    return stateful.drain(stateful.gate(_depth_stream(s, d), "match_id", "frame_num", "camera_scale", "id"), "gate")
 
 
 def stream_windows(s, d):

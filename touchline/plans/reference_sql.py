@@ -152,7 +152,7 @@ ORACLES = {
         WHERE n % 100 >= CASE WHEN n % 3 < 2 THEN 15 ELSE 10 END""",
     "grouped_udaf_range": "SELECT player_id, max(frame_number) - min(frame_number) AS frame_range FROM players_states GROUP BY 1",
     "stream_state_dedupe": "SELECT DISTINCT player_id, frame_number FROM players_states",
-    "stream_ema": "SELECT match_id, count(*) AS n, max(frame_num) AS last_frame FROM (SELECT DISTINCT id, match_id, frame_num, depth FROM depth_history WHERE depth IS NOT NULL) WHERE match_id IS NOT NULL AND frame_num IS NOT NULL GROUP BY 1",
-    "stream_gate": "SELECT match_id, count(*) AS n FROM (SELECT DISTINCT id, match_id, frame_num, camera_scale FROM depth_history WHERE camera_scale IS NOT NULL) WHERE match_id IS NOT NULL AND frame_num IS NOT NULL GROUP BY 1",
     "stream_windows": "SELECT event_type, count(*) AS n_events FROM events GROUP BY 1",
 }
+ORACLES["stream_ema"] = f"SELECT match_id, frame_num, ema FROM ({ORACLES['depth_ema']})"
+ORACLES["stream_gate"] = ORACLES["depth_gate"]

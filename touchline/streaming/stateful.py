@@ -20,7 +20,7 @@ from touchline.session import shared_dir
 def drain(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
     """Run a stream until its files are read; the written rows."""
     spark: SparkSession = stream.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
     def write(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/out/batch={number}")
@@ -35,12 +35,18 @@ def first_states(states: DataFrame) -> DataFrame:
     return states.select("player_id", "frame_number").dropDuplicates(["player_id", "frame_number"])
 
 
-def moving_average(rows: DataFrame, key: str, order: str, value: str, alpha: float = 0.2) -> DataFrame:
+def _ordered(parts: Iterator[pd.DataFrame], order: str, tie: str, value: str) -> pd.DataFrame:
+    """The rows of a micro-batch in order; of rows at the same place, the one with the smallest tie value."""
+    rows = pd.concat(list(parts), ignore_index=True).sort_values([order, tie]).drop_duplicates(order)
+    return rows.dropna(subset=[value])
+
+
+def moving_average(rows: DataFrame, key: str, order: str, value: str, tie: str, alpha: float = 0.2) -> DataFrame:
     """Moving average in order of arrival, within a micro-batch in the given order: key, order, ema."""
 
     def step(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         s = state.get[0] if state.exists else 0.0
-        df = pd.concat(list(frames)).dropna(subset=[value]).sort_values(order)
+        df = _ordered(frames, order, tie, value)
         out = []
         for x in df[value]:
             s = alpha * x + (1 - alpha) * s
@@ -51,12 +57,12 @@ def moving_average(rows: DataFrame, key: str, order: str, value: str, alpha: flo
     return rows.groupBy(key).applyInPandasWithState(step, f"{key} int, {order} int, ema double", "s double", "append", GroupStateTimeout.NoTimeout)
 
 
-def gate(rows: DataFrame, key: str, order: str, scale: str, frames: int = 250, change: float = 0.05) -> DataFrame:
+def gate(rows: DataFrame, key: str, order: str, scale: str, tie: str, frames: int = 250, change: float = 0.05) -> DataFrame:
     """Which rows fire, see the batch operator; state is the last firing's frame and scale."""
 
     def step(k: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         last, last_scale = state.get if state.exists else (-1, 0.0)
-        df = pd.concat(list(parts)).dropna(subset=[scale]).sort_values(order)
+        df = _ordered(parts, order, tie, scale)
         out = []
         for f, s in zip(df[order], df[scale], strict=True):
             fire = last < 0 or (abs(s - last_scale) / last_scale if last_scale else 0.0) > change or f - last >= frames
