@@ -296,7 +296,7 @@ def train(texts: list[str | None], votes: list[list[tuple[str, int]]], max_passa
         out = [(r, y, w * boost) for r, y, w in positive] + negative
         out += [(_disguise(r, rng), y, 0.5 * w * boost) for r, y, w in positive for _ in range(3)]
         out += [(_disguise(r, rng), y, 0.5 * w) for r, y, w in rng.sample(negative, min(len(negative), 2 * len(positive) + 200))]
-        out += [(r, y, 1.0) for r, y in seeds] + [(_disguise(r, rng), y, 0.5) for r, y in seeds]
+        out += [(r, y, 3.0) for r, y in seeds] + [(_disguise(r, rng), y, 1.0) for r, y in seeds]
         return [x[0] for x in out], np.array([x[1] for x in out]), np.array([x[2] for x in out])
 
     def fitted(use: np.ndarray) -> Model:
