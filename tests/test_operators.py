@@ -8,7 +8,7 @@ from touchline.functions import colour as C
 from touchline.functions import geometry as G
 from touchline.functions import text as X
 from touchline.operators import detection, reid, reports, series, vectors, versions
-from touchline.operators.lookup import lookup_join
+from touchline.operators.lookup import fits_broadcast, lookup_join
 from touchline.sources.frames import FrameSource
 
 
@@ -166,3 +166,9 @@ def test_merges_of_the_tracklet_fixture(spark, data):
     out = reid.merge_map(reid.candidates(reid.track_summaries(states, players))).orderBy("member").collect()
     assert len(out) == 50
     assert (out[0].member, out[0].root) == (23, 16) and out[0].score == pytest.approx(14.400492, abs=1e-6)
+
+
+def test_broadcast_limits(spark):
+    df = spark.createDataFrame([(1, "x" * 100, [1.0]), (2, None, None)], "k int, t string, v array<double>")
+    assert fits_broadcast(df, 2, 1000) and not fits_broadcast(df, 1, 1000) and not fits_broadcast(df, 2, 100)
+    assert fits_broadcast(df.limit(0), 0, 0)

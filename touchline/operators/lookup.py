@@ -9,7 +9,19 @@ from pyspark.sql import functions as F
 
 #: Rows up to which a narrow lookup side is broadcast; beyond it the join is salted.
 BROADCAST_ROWS = 200_000
+#: Bytes of its texts and other values of variable size up to which it is broadcast.
+BROADCAST_BYTES = 32 << 20
 SALTS = 16
+#: Types whose values take at most eight bytes.
+_FIXED = {"boolean", "tinyint", "smallint", "int", "bigint", "float", "double", "date", "timestamp", "timestamp_ntz"}
+
+
+def fits_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> bool:
+    """Whether the table has at most `rows` rows and `size` bytes of values of variable size. Reads rows + 1 rows at most."""
+    variable = [F.col(f"`{c}`") for c, t in df.dtypes if t not in _FIXED]
+    length = F.octet_length(F.to_json(F.struct(*variable))) if variable else F.lit(0)
+    n, total = df.limit(rows + 1).agg(F.count(F.lit(1)), F.coalesce(F.sum(length.cast("long")), F.lit(0))).first()
+    return n <= rows and total <= size
 
 
 def both(first: Column, second: Column, compat: bool = False) -> Column:
@@ -27,13 +39,13 @@ def lookup_join(
 ) -> DataFrame:
     """Join `large` with `lookup` on equal `on`; `how` is inner, left, left_semi or left_anti.
 
-    The lookup side is counted first, up to `broadcast_rows` + 1 rows. Within the limit it is broadcast, so the large
-    side isn't shuffled. Beyond the limit both sides are shuffled by key and salt, with the lookup rows repeated once
+    The lookup side is measured first, up to `broadcast_rows` + 1 rows. Within the limits it is broadcast, so the large
+    side isn't shuffled. Beyond them both sides are shuffled by key and salt, with the lookup rows repeated once
     per salt, so that a key that holds a third of the large side still spreads over `salts` tasks.
     Null keys match nothing, as in SQL. The lookup side should hold few, narrow columns.
     """
     on = list(on)
-    if lookup.limit(broadcast_rows + 1).count() <= broadcast_rows:
+    if fits_broadcast(lookup, broadcast_rows):
         return large.join(F.broadcast(lookup), on, how)
     salt = "_lookup_salt"
     left = large.withColumn(salt, F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in large.columns]), F.lit(salts)).cast("int"))
