@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from touchline.operators.lookup import lookup_join
+from touchline.session import ship
 
 #: A source with more rows than this is judged in blocks of successive readings, of about BLOCK_ROWS each.
 HOT_ROWS = 8192
@@ -291,6 +292,7 @@ def flag_implausible(
     judged once and reported under each of their ids. Rows without source or time are only checked for range, per row,
     as nobody's behaviour is known. An empty table gives no rows; other columns are ignored.
     """
+    ship(readings.sparkSession)
     cols = [F.col(source).alias("src"), F.col(time).cast("long").alias("t"), F.col(row_id).cast("long").alias("id")]
     cols += [F.col(m.name).cast("double").alias(f"m{i}") for i, m in enumerate(measures)]
     rows = readings.select(*cols)

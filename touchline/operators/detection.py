@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from touchline.session import ship
+
 DETECTION = "match_id int, frame_num int, class_id int, track_id int, x1 int, y1 int, x2 int, y2 int, confidence double"
 #: Least confidences of the detectors.
 THRESHOLDS = {"ball": 0.1, "goal": 0.15, "player": 0.15}
@@ -54,6 +56,7 @@ def detect(frames: DataFrame, d: Detector) -> DataFrame:
         for b in batches:
             yield model(b)
 
+    ship(frames.sparkSession)
     out = frames.mapInPandas(run, DETECTION)
     track = F.col("track_id") if d.tracking else F.lit(0)
     return accepted(out, d.classes, d.least_confidence).withColumn("track_id", track)
@@ -102,6 +105,7 @@ def suppress(detections: DataFrame, limit: float = 0.5) -> DataFrame:
                 keep.append(g[open_])
             yield pd.concat(keep)
 
+    ship(detections.sparkSession)
     return detections.repartition("match_id", "frame_num").sortWithinPartitions("match_id", "frame_num").mapInPandas(run, DETECTION)
 
 
@@ -137,6 +141,7 @@ def track(detections: DataFrame, buffer: int = 150, least_overlap: float = 0.2)
             tracks |= {int(k): (b, now) for k, b in zip(ids, boxes, strict=True)}
             yield f.assign(track_id=ids.astype("int32"))
 
+    ship(detections.sparkSession)
     order = ["match_id", "frame_num", "class_id", "x1", "y1"]
     return detections.select(*[c.split()[0] for c in DETECTION.split(", ")]).repartition("match_id").sortWithinPartitions(*order).mapInPandas(run, DETECTION)
 

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from touchline.operators.ordered import SHARD, shard_of, with_neighbours
-from touchline.session import written
+from touchline.session import ship, written
 
 #: Slots of one shard of an entity, and of one piece of a long gap.
 SHARD_SLOTS = 64
@@ -78,6 +78,7 @@ def regular_grid(
     model's value and remains "observed". Copies and second readings with equal values of a time unit count once;
     differing readings of a time unit are averaged. An empty table gives an empty grid. Other columns are ignored.
     """
+    ship(readings.sparkSession)
     values = list(values)
     v = [f"_v{i}" for i in range(len(values))]
     usable = readings.select(

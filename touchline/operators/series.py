@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from touchline.functions import geometry as G
 from touchline.operators.ordered import SHARD, shard_of, with_neighbours
+from touchline.session import ship
 
 
 def positions(df: DataFrame, keys: Sequence[str], order: str, width: int = 4096, name: str = "position") -> DataFrame:
@@ -108,6 +109,7 @@ def gate(df: DataFrame, key: str, order: str, scale: str, frames: int = 250, cha
     A firing depends on the one before it, so the rows of a key are read one after the other; the state is two numbers
     and rows are streamed, so a busy key costs time but no memory.
     """
+    ship(df.sparkSession)
     rows = df.select(F.col(key).cast("long").alias("key"), F.col(order).cast("long").alias("frame"), F.col(scale).cast("double").alias("scale")).dropna()
     return (
         rows.repartition("key")

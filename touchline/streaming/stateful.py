@@ -14,12 +14,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from touchline.session import shared_dir
+from touchline.session import shared_dir, ship
 
 
 def drain(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
     """Run a stream until its files are read; the written rows."""
     spark: SparkSession = stream.sparkSession
+    ship(spark)
     path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
     def write(batch: DataFrame, number: int) -> None:
