@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from touchline.llm.folding import HIDDEN, fold, passages
 from touchline.llm.mixing import source_name
+from touchline.session import ship
 
 ORDERS = (3, 4, 5, 6, 8)
 BITS = 18
@@ -369,6 +370,7 @@ def score_documents(documents: DataFrame, model: Model) -> DataFrame:
     texts score 0. Each row comes out once, repeated ids and copies too. Scored where it is read, without a shuffle;
     the model, of fixed size, goes out with the tasks.
     """
+    ship(documents.sparkSession)
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), source_name(F.col("source")).alias("source"), "text")
     return rows.mapInArrow(_scorer(model), "doc_id long, source string, score double, flagged boolean")
 

@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from touchline.session import ship
+
 #: Folder of the public tokenizers, and the vocabulary used by default.
 FOLDER = "/opt/tokenizers"
 VOCABULARY = "byte_bpe_50k.tiktoken"
@@ -246,6 +248,7 @@ def encode_corpus(
     parallel; parts of an unsplit stretch are joined by halves, see `Piecewise`, with the same ids as the whole text
     has. Only the parts of one text ever meet in one task.
     """
+    ship(documents.sparkSession)
     path, carry = f"{folder}/{vocabulary}", list(carry)
     kept = [f"c{i}" for i in range(len(carry))]
     more = "".join(f", {c} string" for c in kept)
