@@ -76,3 +76,24 @@ def test_ties_of_time_are_kept():
     src, t = np.zeros(4, dtype=int), np.array([1, 1, 2, 2])
     out = flag_measure(MOVEMENT[0], src, t, np.array([5.0, -1.0, 5.1, 5.2]), np.ones(4, bool), Limits())
     assert out.tolist() == [0, 1, 0, 0]
+
+
+def test_copies_of_a_short_track_change_nothing(spark):
+    rows = walk(900)
+    for r in rows:
+        r[2] *= 2
+    for i in range(400, 415):
+        rows[i][4] = 1.234
+    want = found(spark, rows)
+    assert {(i + 1, "acceleration") for i in range(400, 415)} <= {k for k, v in want.items() if v == "stuck"}
+    copies = [list(rows[0]) for _ in range(30_000)] + [[10_000 + i, *rows[1][1:]] for i in range(30_000)]
+    got = found(spark, rows + copies, hot_rows=2000, block_rows=200)
+    assert {k: v for k, v in got.items() if k[0] <= 900} == want
+
+
+def test_short_blocks_see_their_neighbours(spark):
+    rows = walk(2400)
+    for i in range(1195, 1210):
+        rows[i][4] = 1.234
+    got = found(spark, rows, hot_rows=100, block_rows=5)
+    assert {(i + 1, "acceleration") for i in range(1195, 1210)} <= {k for k, v in got.items() if v == "stuck"}

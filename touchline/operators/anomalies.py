@@ -11,9 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from touchline.operators.lookup import lookup_join
-from touchline.session import ship
+from touchline.session import ship, written
 
-#: A source with more rows than this is judged in blocks of successive readings, of about BLOCK_ROWS each.
+#: A source with more readings than this is judged in blocks of successive readings, of about BLOCK_ROWS each.
 HOT_ROWS = 8192
 BLOCK_ROWS = 4096
 
@@ -224,26 +224,17 @@ def _flagger(measures: Sequence[Measure], lim: Limits, chunk_rows: int = 60_000)
 
     def judge(t: pa.Table) -> Iterator[pa.RecordBatch]:
         numbers = lambda c: t[c].to_numpy(zero_copy_only=False)
-        src, block, time, ids = (numbers(c) for c in ("src", "block", "t", "id"))
-        new_source = np.concatenate([[True], (src[1:] != src[:-1]) | (block[1:] != block[:-1])])
-        source = np.cumsum(new_source) - 1
-        values = [numbers(c).astype(float) for c in names]
-        present = [~np.asarray(t[c].is_null()) for c in names]
-        same = ~new_source & np.concatenate([[False], time[1:] == time[:-1]])
-        for v, p in zip(values, present, strict=True):
-            equal = np.concatenate([[False], ((v[1:] == v[:-1]) | (np.isnan(v[1:]) & np.isnan(v[:-1]))) & (p[1:] == p[:-1])])
-            same &= equal
-        head = np.flatnonzero(~same)
-        of = np.cumsum(~same) - 1  # the reading that a row repeats
-        shown = (same & np.concatenate([[False], ids[1:] == ids[:-1]])) | ~np.asarray(t["own"])
-        for m, v, p in zip(measures, values, present, strict=True):
-            reason = flag_measure(m, source[head], time[head], v[head], p[head], lim)[of]
-            hit = np.flatnonzero((reason > 0) & ~shown)
+        src, block, time = (numbers(c) for c in ("src", "block", "t"))
+        source = np.cumsum(np.concatenate([[True], (src[1:] != src[:-1]) | (block[1:] != block[:-1])])) - 1
+        own = np.asarray(t["own"])
+        for m, c in zip(measures, names, strict=True):
+            v, p = numbers(c).astype(float), ~np.asarray(t[c].is_null())
+            reason = flag_measure(m, source, time, v, p, lim)
+            hit = np.flatnonzero((reason > 0) & own)
             if len(hit):
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids[hit]), pa.array([m.name] * len(hit), pa.string()), pa.array(REASONS[reason[hit]], pa.string()), pa.array(v[hit], pa.float64())],
-                    names=["id", "field", "reason", "value"],
-                )
+                reading = t.select(["src", "t", *names]).take(pa.array(hit)).combine_chunks()
+                more = [pa.array([m.name] * len(hit), pa.string()), pa.array(REASONS[reason[hit]], pa.string()), pa.array(v[hit], pa.float64())]
+                yield pa.RecordBatch.from_arrays([*[x.combine_chunks() if isinstance(x, pa.ChunkedArray) else x for x in reading.columns], *more], names=["src", "t", *names, "field", "reason", "value"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: list[pa.RecordBatch] = []
@@ -285,11 +276,11 @@ def flag_implausible(
     Decomposition works on the logarithm of the value, or of its rate for fields that grow with the time since the
     previous reading: trend is a running median, season the median by phase of what is left, scale the median absolute
     deviation, shrunk to the field's prior for sources with few readings. A source is judged as a whole, up to
-    `hot_rows` rows; a larger one in blocks of successive time ranges of `block_rows` rows on average, so that a source
-    that holds a third of the table is spread over many tasks and yet meets its own behaviour.
+    `hot_rows` readings; a larger one in blocks of successive time ranges of `block_rows` readings on average, so that a
+    source that holds a third of the table is spread over many tasks and yet meets its own behaviour.
 
     Nulls and zeros are no cases and break no run. Rows with equal measurements of one source and time are one reading,
-    judged once and reported under each of their ids. Rows without source or time are only checked for range, per row,
+    counted and judged once and reported under each of their ids, whatever their number. Rows without source or time are only checked for range, per row,
     as nobody's behaviour is known. An empty table gives no rows; other columns are ignored.
     """
     ship(readings.sparkSession)
@@ -297,29 +288,33 @@ def flag_implausible(
     cols += [F.col(m.name).cast("double").alias(f"m{i}") for i, m in enumerate(measures)]
     rows = readings.select(*cols)
     placed = rows.where("src is not null and t is not null")
+    names = [f"m{i}" for i in range(len(measures))]
+    readings = placed.select("src", "t", *names).distinct()
     hot = (
-        readings.select(F.col(source).alias("src"), F.col(time).cast("long").alias("t"))
-        .dropna()
-        .groupBy("src")
+        readings.groupBy("src")
         .agg(F.count(F.lit(1)).alias("n"), F.min("t").alias("t0"), F.max("t").alias("t1"))
         .where(F.col("n") > hot_rows)
-        .select("src", "t0", F.greatest(F.ceil((F.col("t1") - F.col("t0") + 1) / F.ceil(F.col("n") / block_rows)), F.lit(1)).alias("span"))
+        .select("src", "t0", F.greatest(F.ceil((F.col("t1") - F.col("t0") + 1) / F.ceil(F.col("n") / block_rows)), F.lit(4 * limits.reach)).alias("span"))
     )
-    # rows near a block's border are shown to the block beside it too, as context for trends, steps and runs
-    own = F.coalesce(F.floor((F.col("t") - F.col("t0")) / F.col("span")), F.lit(0)).cast("long")
+    # readings near a block's border are shown to every block within reach too, as context for trends, steps and runs
     block_at = lambda t: F.floor((t - F.col("t0")) / F.col("span")).cast("long")
-    beside = F.array_distinct(F.array(block_at(F.col("t") - limits.reach), block_at(F.col("t")), block_at(F.col("t") + limits.reach)))
-    blocks = lookup_join(placed, hot, ["src"], "left").withColumn("_own", own)
-    blocks = blocks.withColumn("block", F.explode(F.when(F.col("span").isNull(), F.array(F.lit(0).cast("long"))).otherwise(beside)))
-    blocks = blocks.withColumn("own", F.col("block") == F.col("_own"))
-    order = ["src", "block", "t", *[f"m{i}" for i in range(len(measures))], "id"]
+    blocks = lookup_join(readings, hot, ["src"], "left").withColumn("_own", F.coalesce(block_at(F.col("t")), F.lit(0).cast("long")))
+    beside = F.sequence(block_at(F.col("t") - limits.reach), block_at(F.col("t") + limits.reach))
+    blocks = blocks.withColumn("block", F.explode(F.when(F.col("span").isNull(), F.array("_own")).otherwise(beside)))
+    order = ["src", "block", "t", *names]
+    kind = f"src {readings.schema['src'].dataType.simpleString()}, t long, {', '.join(f'{c} double' for c in names)}, field string, reason string, value double"
     flagged = (
-        blocks.select(*order, "own")
-        .distinct()  # copies go before the shuffle by block
+        blocks.select(*order, (F.col("block") == F.col("_own")).alias("own"))
         .repartition("src", "block")
         .sortWithinPartitions(*order)
-        .mapInArrow(_flagger(measures, limits), "id long, field string, reason string, value double")
+        .mapInArrow(_flagger(measures, limits), kind)
     )
+    # verdicts on readings go to all rows that hold them; equality of nulls by a mask beside the values
+    mask = sum((F.col(c).isNull().cast("int") * (1 << i) for i, c in enumerate(names)), F.lit(0)).alias("_mask")
+    key = ["src", "t", *[F.coalesce(c, F.lit(0.0)).alias(f"_{c}") for c in names], mask]
+    on = ["src", "t", *[f"_{c}" for c in names], "_mask"]
+    verdicts = written(flagged.select(*key, F.struct("field", "reason", "value").alias("_v")).groupBy(*on).agg(F.collect_list("_v").alias("_v")), "flags")
+    flagged = lookup_join(placed.select("id", *key), verdicts, on).select("id", "_v").distinct().select("id", F.inline("_v"))
     lost = rows.where("src is null or t is null").select(
         "id", F.inline(F.array(*[F.struct(F.lit(m.name).alias("field"), F.lit("range").alias("reason"), F.col(f"m{i}").alias("value"), F.lit(m.highest).alias("highest"), F.lit(m.per_time).alias("rate")) for i, m in enumerate(measures)]))
     )
