@@ -8,6 +8,7 @@ from touchline.operators.vectors import torso
 from touchline.plans.pipeline import Pipeline, analyze
 from touchline.schemas import TABLES, create_tables
 from touchline.settings import SessionValues, Settings, require_files
+from touchline.sources.frames import SCHEMA as FRAMES
 from touchline.sources.frames import FrameSource
 
 
@@ -45,6 +46,31 @@ def test_analysis_of_a_match(spark):
     assert [r.outcome for r in p.log_table().collect()] == ["done"] * 4 and set(p.timer.stats) == {n for n, _ in p.steps}
 
 
+def pictures(spark, match, n, height=12, width=20):
+    """Red frames, from number 60 on blue ones."""
+    colour = lambda k: bytes([200, 20, 20] if k < 60 else [20, 20, 200]) * (height * width)
+    return spark.createDataFrame([(match, k, k / 25, height, width, bytearray(colour(k))) for k in range(1, n + 1)], FRAMES)
+
+
+def test_pieces_of_another_colour_do_not_merge(spark):
+    def model():
+        def run(b: pd.DataFrame) -> pd.DataFrame:
+            n = b["frame_num"]
+            one = pd.DataFrame({"match_id": b["match_id"], "frame_num": n, "class_id": 0, "track_id": 1, "x1": 2, "y1": 2, "x2": 8, "y2": 8, "confidence": 0.9})
+            red = one[n < 40].assign(track_id=1), one[(n >= 40) & (n < 60)].assign(track_id=23)
+            return pd.concat([*red, one[(n >= 60) & (n < 80)].assign(track_id=24), one[n >= 80].assign(track_id=25, x1=90, x2=99)])
+
+        return run
+
+    tables, _ = analyze(spark, pictures(spark, 5, 100), 5, detection.Detectors().add(detection.Detector("players", model, (0,), tracking=True)))
+    players = {r.track_id: r for r in tables["players"].collect()}
+    colour = {k: tuple(map(int, r.team_color.split(","))) if r.team_color else None for k, r in players.items()}
+    assert max(abs(a - b) for a, b in zip(colour[1], (200, 20, 20), strict=True)) <= 4 and colour[23] == colour[1]
+    assert max(abs(a - b) for a, b in zip(colour[24], (20, 20, 200), strict=True)) <= 4 and colour[25] is None
+    assert {(r.member, r.root) for r in tables["merges"].collect()} == {(players[23].id, players[1].id)}
+    assert tables["state_colours"].count() == 79
+
+
 def test_failing_steps_are_tried_again(spark):
     calls = []
 

@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from touchline.operators.lookup import lookup_join
 from touchline.session import ship
 
 DETECTION = "match_id int, frame_num int, class_id int, track_id int, x1 int, y1 int, x2 int, y2 int, confidence double"
@@ -236,3 +237,40 @@ def jersey_colours(pixels: Column, width: int) -> Column:
         return pd.DataFrame({"rgb": [list(c) for c in colours], "hex": ["#{:02x}{:02x}{:02x}".format(*c) for c in colours]})
 
     return run(pixels)
+
+
+def state_colours(frames: DataFrame, states: DataFrame) -> DataFrame:
+    """Jersey colour of each state's crop: id, player_id, frame_number, rgb, hex.
+
+    `frames` has match_id, frame_num, height, width and frame, a picture as r, g, b bytes in row order; `states` has
+    match_id besides. Boxes are cut at the picture's border. States without a complete box, a picture, or a pixel of it
+    have no colour and give no row.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = []
+            for n, height, width, frame, boxes in zip(b["frame_num"], b["height"], b["width"], b["frame"], b["_boxes"], strict=True):
+                picture = np.frombuffer(frame, np.uint8)
+                if len(picture) != height * width * 3:
+                    continue
+                picture = picture.reshape(height, width, 3)
+                for s in boxes:
+                    x1, y1, x2, y2 = (max(0, int(s[c])) for c in ("x1", "y1", "x2", "y2"))
+                    crop = picture[y1:y2, x1:x2]
+                    if crop.size:
+                        rgb = jersey_colour(crop.reshape(-1, 3).astype(float), crop.shape[1])
+                        out.append((s["id"], s["player_id"], n, list(rgb), "#{:02x}{:02x}{:02x}".format(*rgb)))
+            yield pd.DataFrame(out, columns=["id", "player_id", "frame_number", "rgb", "hex"])
+
+    ship(frames.sparkSession)
+    whole = states.dropna(subset=["x1", "y1", "x2", "y2"])
+    boxes = whole.groupBy("match_id", F.col("frame_number").alias("frame_num")).agg(F.collect_list(F.struct("id", "player_id", "x1", "y1", "x2", "y2")).alias("_boxes"))
+    pictures = frames.where("frame is not null and height > 0 and width > 0").select("match_id", "frame_num", "height", "width", "frame")
+    return lookup_join(pictures, boxes, ["match_id", "frame_num"]).mapInPandas(run, "id long, player_id long, frame_number int, rgb array<int>, hex string")
+
+
+def last_colours(colours: DataFrame) -> DataFrame:
+    """The colour each player was last seen with, which overwrites earlier ones: id, team_color."""
+    rgb = F.max_by("rgb", F.struct("frame_number", "id"))
+    return colours.groupBy(F.col("player_id").alias("id")).agg(F.array_join(rgb.cast("array<string>"), ",").alias("team_color"))

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from touchline.operators import reid
-from touchline.operators.detection import Detectors, track
+from touchline.operators.detection import Detectors, last_colours, state_colours, track
 from touchline.operators.reports import Timer
 from touchline.session import written
 from touchline.settings import Settings
@@ -66,17 +66,25 @@ def detect_step(detectors: Detectors, settings: Settings) -> Step:
 
 
 def states_step(t: Tables) -> Tables:
-    """Players and their states from detections: one state per match, track and frame."""
+    """Players and their states from detections: one state per match, track and frame, and the colour of its crop.
+
+    A player's colour is the one last seen, null where no picture shows the player. A table "colours" (id, team_color)
+    among the given ones takes the place of the crops.
+    """
     rows = t["detections"].where("track_id > 0").dropDuplicates(["match_id", "track_id", "frame_num"])
     player = F.xxhash64("match_id", "track_id")
     box = [F.col(c).cast("double").alias(c) for c in ("x1", "y1", "x2", "y2")]
-    states = rows.select(F.xxhash64("match_id", "track_id", "frame_num").alias("id"), player.alias("player_id"), F.col("frame_num").alias("frame_number"), *box, "confidence")
-    players = rows.select(player.alias("id"), "match_id", "track_id").distinct()
-    if "colours" in t:  # id, team_color: what a colour model found
-        players = players.join(t["colours"], "id", "left")
+    states = written(rows.select(F.xxhash64("match_id", "track_id", "frame_num").alias("id"), player.alias("player_id"), F.col("frame_num").alias("frame_number"), *box, "confidence", "match_id", "track_id"), "states")
+    players = states.select(F.col("player_id").alias("id"), "match_id", "track_id").distinct()
+    out = {"states": states.drop("match_id", "track_id")}
+    if "colours" in t:
+        colours = t["colours"]
+    elif {"frame", "height", "width"} <= set(t["frames"].columns):
+        out["state_colours"] = written(state_colours(t["frames"], states), "colours")
+        colours = last_colours(out["state_colours"])
     else:
-        players = players.withColumn("team_color", F.lit("128,128,128"))
-    return {"states": written(states, "states"), "players": players}
+        return out | {"players": players.withColumn("team_color", F.lit(None).cast("string"))}
+    return out | {"players": written(players.join(colours, "id", "left"), "players")}
 
 
 def reidentify_step(t: Tables) -> Tables:
