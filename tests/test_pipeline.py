@@ -71,6 +71,29 @@ def test_pieces_of_another_colour_do_not_merge(spark):
     assert tables["state_colours"].count() == 79
 
 
+def test_balls_goals_and_two_tracking_detectors(spark):
+    def model(track_id, x):
+        def load():
+            def run(b: pd.DataFrame) -> pd.DataFrame:
+                first = b["frame"].map(lambda f: f[0]) if "frame" in b else 0  # a model's input is the picture
+                return pd.DataFrame({"match_id": b["match_id"], "frame_num": b["frame_num"], "class_id": 0, "track_id": track_id, "x1": first, "y1": 2, "x2": first + x, "y2": 9, "confidence": 0.8})
+
+            return run
+
+        return load
+
+    models = detection.Detectors()
+    for name, kind, track_id, x in [("a", "player", 1, 5), ("b", "player", 1, 7), ("c", "player", 0, 6), ("ball", "ball", 0, 3), ("goal", "goal", 9, 11)]:
+        models.add(detection.Detector(name, model(track_id, x), (0,), tracking=track_id > 0, kind=kind))
+    tables, _ = analyze(spark, pictures(spark, 6, 30, 12, 250), 6, models)
+    report = tables["detections_report"].collect()
+    seen = {(k, x): sum(r.object_type == k and r.bbox == f"200.0, 2.0, {200 + x}.0, 9.0" for r in report) for k, x in [("player", 5), ("player", 7), ("player", 6), ("ball", 3), ("goal", 11)]}
+    assert set(seen.values()) == {30} and len(report) == 150
+    assert {r.track_id for r in report if r.object_type != "player"} == {0} and max(r.timestamp for r in report) == 1
+    assert tables["players"].count() == 3 and tables["states"].count() == 90 and tables["balls"].count() == tables["goals"].count() == 30
+    assert len(tables["detections_report"].columns) == 11
+
+
 def test_failing_steps_are_tried_again(spark):
     calls = []
 

@@ -25,13 +25,17 @@ Detect = Callable[[pd.DataFrame], pd.DataFrame]
 
 @dataclass(frozen=True)
 class Detector:
-    """A named model: `load` runs once per worker process and gives the function from frames to detections."""
+    """A named model: `load` runs once per worker process and gives the function from frames to detections.
+
+    kind: what it looks for, "ball", "goal" or "player"; classes are the model's own numbers.
+    """
 
     name: str
     load: Callable[[], Detect]
     classes: Sequence[int]
     least_confidence: float = 0.15
     tracking: bool = False
+    kind: str = "player"
 
 
 @dataclass
@@ -48,6 +52,11 @@ class Detectors:
     def run(self, frames: DataFrame) -> DataFrame:
         return reduce(DataFrame.unionByName, [detect(frames, d) for d in self.items])
 
+    def run_named(self, frames: DataFrame) -> DataFrame:
+        """As `run`, with the detector's name and kind."""
+        named = [detect(frames, d).withColumns({"detector": F.lit(d.name), "kind": F.lit(d.kind)}) for d in self.items]
+        return reduce(DataFrame.unionByName, named)
+
 
 def detect(frames: DataFrame, d: Detector) -> DataFrame:
     """Detections of the wanted classes at or above the least confidence; without tracking, track_id is 0."""

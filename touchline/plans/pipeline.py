@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from touchline.operators import reid
+from touchline.operators import reid, reports, versions
 from touchline.operators.detection import Detectors, last_colours, state_colours, track
+from touchline.operators.lookup import lookup_join
 from touchline.operators.reports import Timer
 from touchline.session import written
 from touchline.settings import Settings
@@ -55,28 +57,53 @@ class Pipeline:
 
 
 def detect_step(detectors: Detectors, settings: Settings) -> Step:
-    """Detections of all registered models; those without an identity get one by overlap with the frames before."""
+    """Detections of all registered models over whole frames, with the time of their frame.
+
+    Players without an identity get one by overlap with the frames before, per detector and class; balls and goals have
+    none, track_id 0.
+    """
 
     def step(t: Tables) -> Tables:
-        found = detectors.run(t["frames"].select("match_id", "frame_num", "timestamp"))
-        kept = written(track(found, settings.track_buffer), "detections")
-        return {"detections": kept}
+        found = written(detectors.run_named(t["frames"]), "found")
+        parts = [found.where("kind <> 'player'").withColumn("track_id", F.lit(0))]
+        for d in detectors.items:
+            if d.kind == "player":
+                for c in d.classes:
+                    of = (F.col("detector") == d.name) & (F.col("class_id") == c)
+                    parts.append(track(found.where(of), settings.track_buffer).withColumns({"detector": F.lit(d.name), "kind": F.lit(d.kind)}))
+        times = t["frames"].groupBy("match_id", "frame_num").agg(F.min("timestamp").cast("int").alias("timestamp"))
+        every = lookup_join(reduce(DataFrame.unionByName, parts), written(times, "times"), ["match_id", "frame_num"], "left")
+        return {"detections": written(every, "detections")}
 
     return step
 
 
+def _sightings(detections: DataFrame, kind: str) -> DataFrame:
+    """Rows of balls or goals, one per detection."""
+    box = [F.col(c).cast("double").alias(c) for c in ("x1", "y1", "x2", "y2")]
+    key = F.xxhash64("match_id", "detector", "class_id", "frame_num", "x1", "y1", "x2", "y2")
+    return detections.where(F.col("kind") == kind).select(key.alias("id"), "match_id", F.col("frame_num").alias("frame_number"), *box, "confidence", "timestamp")
+
+
 def states_step(t: Tables) -> Tables:
-    """Players and their states from detections: one state per match, track and frame, and the colour of its crop.
+    """Balls, goals, players and players' states from detections, and the colour of each state's crop.
 
+    There is one state per track and frame, the most confident; a track belongs to a match, detector and class.
     A player's colour is the one last seen, null where no picture shows the player. A table "colours" (id, team_color)
     among the given ones takes the place of the crops.
     """
-    rows = t["detections"].where("track_id > 0").dropDuplicates(["match_id", "track_id", "frame_num"])
-    player = F.xxhash64("match_id", "track_id")
+    key = ["match_id", "detector", "class_id", "track_id"]
+    found = t["detections"].where("kind = 'player' and track_id > 0")
+    rest = ["x1", "y1", "x2", "y2", "confidence", "timestamp"]
+    first = F.min_by(F.struct(*rest), F.struct(-F.col("confidence"), *rest[:4]))
+    rows = found.groupBy(*key, "frame_num").agg(first.alias("s")).select(*key, "frame_num", "s.*")
     box = [F.col(c).cast("double").alias(c) for c in ("x1", "y1", "x2", "y2")]
-    states = written(rows.select(F.xxhash64("match_id", "track_id", "frame_num").alias("id"), player.alias("player_id"), F.col("frame_num").alias("frame_number"), *box, "confidence", "match_id", "track_id"), "states")
+    movement = [F.lit(0.0).alias(c) for c in ("speed_kmh", "distance_meters")]  # the default: no stage computes them
+    states = rows.select(F.xxhash64(*key, "frame_num").alias("id"), F.xxhash64(*key).alias("player_id"), F.col("frame_num").alias("frame_number"), *box, "confidence", "timestamp", *movement, "match_id", "track_id")
+    states = written(states, "states")
     players = states.select(F.col("player_id").alias("id"), "match_id", "track_id").distinct()
-    out = {"states": states.drop("match_id", "track_id")}
+    players = players.withColumn("shirt_number", F.lit(None).cast("int"))
+    out = {"states": states.drop("match_id", "track_id"), "balls": _sightings(t["detections"], "ball"), "goals": _sightings(t["detections"], "goal")}
     if "colours" in t:
         colours = t["colours"]
     elif {"frame", "height", "width"} <= set(t["frames"].columns):
@@ -91,15 +118,22 @@ def reidentify_step(t: Tables) -> Tables:
     return {"merges": written(reid.merge_map(reid.candidates(written(reid.track_summaries(t["states"], t["players"]), "tracks"))), "merges")}
 
 
-def persistence_step(t: Tables) -> Tables:
-    """Detections per player after merging, the pipeline's report."""
-    roots = t["states"].join(t["merges"].select(F.col("member").alias("player_id"), "root"), "player_id", "left")
-    owner = F.coalesce("root", "player_id").alias("player_id")
-    return {"report": roots.groupBy(owner).agg(F.count(F.lit(1)).alias("n_states"), (F.max("frame_number") - F.min("frame_number")).alias("persistence"))}
+def report_step(t: Tables) -> Tables:
+    """The detection report after merging, "detections_report", with its aggregates, and "report": detections per player."""
+    states = versions.repoint(t["states"], t["merges"], "player_id")
+    players = versions.without(t["players"], t["merges"].select("member"), "id")
+    rows = written(reports.detection_report(t["goals"], t["balls"], states, players), "report")
+    return {
+        "detections_report": rows,
+        "recognition_frequency": reports.recognition_frequency(rows),
+        "average_confidence": reports.average_confidence(rows),
+        "tracking_persistence": reports.tracking_persistence(rows),
+        "report": states.groupBy("player_id").agg(F.count(F.lit(1)).alias("n_states"), (F.max("frame_number") - F.min("frame_number")).alias("persistence")),
+    }
 
 
 def analyze(spark: SparkSession, frames: DataFrame, match_id: int, detectors: Detectors, settings: Settings | None = None) -> tuple[Tables, Pipeline]:
     settings = settings or Settings.load(spark)
     p = Pipeline(spark, match_id, settings.attempts)
-    p.add("detection", detect_step(detectors, settings)).add("states", states_step).add("re-identification", reidentify_step).add("report", persistence_step)
+    p.add("detection", detect_step(detectors, settings)).add("states", states_step).add("re-identification", reidentify_step).add("report", report_step)
     return p.run({"frames": frames}), p
