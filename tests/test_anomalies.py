@@ -97,3 +97,36 @@ def test_short_blocks_see_their_neighbours(spark):
         rows[i][4] = 1.234
     got = found(spark, rows, hot_rows=100, block_rows=5)
     assert {(i + 1, "acceleration") for i in range(1195, 1210)} <= {k for k, v in got.items() if v == "stuck"}
+
+
+def test_outage_at_a_block_border(spark):
+    rows = walk(1200)
+    for r in rows[600:]:
+        r[2] += 2000
+    for far, reason in ((300.0, None), (1300.0, "spike"), (1500.0, "range")):
+        rows[600][5] = far
+        for more in ({}, {"hot_rows": 300, "block_rows": 200}):
+            assert found(spark, rows, **more).get((601, "distance_meters")) == reason
+
+
+def test_sparse_stuck_stretch_over_a_block_border(spark):
+    rows = walk(1200)
+    for r in rows:
+        r[2] *= 50
+    for i in [*range(196, 204), *range(395, 407)]:
+        rows[i][4] = 1.234 if i < 300 else 1.2 + 0.002 * (i - 395)  # the second stretch drifts too far to be still
+    for i in range(598, 606, 2):  # zeros break no run
+        rows[i][4], rows[i + 1][4] = 0.0, 1.5
+    rows[594][4] = rows[595][4] = rows[596][4] = rows[597][4] = 1.5
+    whole, split = found(spark, rows), found(spark, rows, hot_rows=300, block_rows=200)
+    stuck = [{k for k, v in x.items() if v == "stuck" and k[1] == "acceleration"} for x in (whole, split)]
+    want = {i + 1 for i in [*range(196, 204), *range(594, 598), 599, 601, 603, 605]}
+    assert stuck[0] == stuck[1] == {(i, "acceleration") for i in want}
+
+
+def test_run_over_many_blocks_keeps_its_extent(spark):
+    rows = walk(3000)
+    for i in range(1000, 2000):
+        rows[i][4] = round(1.2 + 0.001 * ((i - 1000) // 150), 3)  # 0 to 6 units over several blocks: not still
+    got = found(spark, rows, hot_rows=300, block_rows=150)
+    assert not [k for k, v in got.items() if v == "stuck" and 1000 < k[0] <= 2000]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
@@ -138,16 +139,40 @@ def _abrupt(spike: np.ndarray, source: np.ndarray, time: np.ndarray, x: np.ndarr
     return out
 
 
-def flag_measure(m: Measure, source: np.ndarray, time: np.ndarray, value: np.ndarray, present: np.ndarray, lim: Limits) -> np.ndarray:
-    """Reasons per reading: 0 none, 1 range, 2 spike, 3 stuck. Rows are sorted by source and time; sources are numbers."""
+def _steps(source: np.ndarray, time: np.ndarray) -> np.ndarray:
+    """Time since the source's previous reading, at least 1; infinite for its first."""
+    first = np.concatenate([[True], source[1:] != source[:-1]])
+    return np.where(first, np.inf, np.maximum(np.diff(time, prepend=time[:1]), 1))
+
+
+def _near(m: Measure, a: np.ndarray, b: np.ndarray, lim: Limits) -> np.ndarray:
+    """Whether successive values count as the same."""
+    return np.abs(a - b) <= m.unit * (lim.stuck_units + 0.1)
+
+
+def flag_measure(
+    m: Measure,
+    source: np.ndarray,
+    time: np.ndarray,
+    value: np.ndarray,
+    present: np.ndarray,
+    lim: Limits,
+    step: np.ndarray | None = None,
+    extent: tuple[np.ndarray, np.ndarray] | None = None,
+) -> np.ndarray:
+    """Reasons per reading: 0 none, 1 range, 2 spike, 3 stuck. Rows are sorted by source and time; sources are numbers.
+
+    step: time since the previous reading, where that isn't the row before. extent: least and largest value of the run of
+    near values that a reading ends or begins beyond the rows given; the value itself elsewhere.
+    """
     reason = np.zeros(len(value), dtype=np.int8)
     if not len(value):
         return reason
-    step = np.ones(len(value))
-    if m.per_time:
-        first = np.concatenate([[True], source[1:] != source[:-1]])
+    if not m.per_time:
+        step = np.ones(len(value))
+    elif step is None:
         # the time before a source's first reading isn't known: it is no spike, and its range is that of `reach`
-        step = np.where(first, np.inf, np.maximum(np.diff(time, prepend=time[0]), 1))
+        step = _steps(source, time)
     with np.errstate(invalid="ignore"):
         known = np.where(np.isfinite(step), step, lim.reach)
         impossible = present & ~(np.isfinite(value) & (value >= 0) & (value <= m.highest * known + m.slack))
@@ -198,7 +223,7 @@ def flag_measure(m: Measure, source: np.ndarray, time: np.ndarray, value: np.nda
         src, v = source[at], value[at]
         change = np.abs(np.diff(v))
         inside = src[1:] == src[:-1]
-        near = inside & (change <= m.unit * (lim.stuck_units + 0.1))
+        near = inside & _near(m, v[1:], v[:-1], lim)
         usual, pairs = _group_median(change[inside], src[1:][inside], n_sources)
         spread = np.maximum(np.nan_to_num(usual), m.unit) / 0.6745
         chance = np.clip(2 * m.unit * (lim.stuck_units + 0.5) * 0.4 / spread, 0.005, 0.4)
@@ -208,8 +233,8 @@ def flag_measure(m: Measure, source: np.ndarray, time: np.ndarray, value: np.nda
         length = np.bincount(run)[run]
         # a drift of many small steps isn't stuck: the run's span stays within a few units
         lo, hi = np.full(run[-1] + 1, np.inf), np.full(run[-1] + 1, -np.inf)
-        np.minimum.at(lo, run, v)
-        np.maximum.at(hi, run, v)
+        np.minimum.at(lo, run, v if extent is None else extent[0][at])
+        np.maximum.at(hi, run, v if extent is None else extent[1][at])
         still = (hi - lo)[run] <= m.unit * (2 * lim.stuck_units + 0.1)
         hit = (length >= least[src]) & still
         reason[at[hit & (reason[at] == 0)]] = 3
@@ -219,22 +244,163 @@ def flag_measure(m: Measure, source: np.ndarray, time: np.ndarray, value: np.nda
 REASONS = np.array(["", "range", "spike", "stuck"], dtype=object)
 
 
+def _context(lim: Limits) -> int:
+    """Readings of a measure that a block is shown on either side: enough for a trend within a run that decides a verdict."""
+    return max(4 * lim.stuck_least, lim.window) + lim.window
+
+
+#: A reading at a block's edge: time, value, time since the previous reading, extent of its run so far, and whether that
+#: run reaches back to the block's first reading of the measure.
+EDGE = [("t", "f8"), ("v", "f8"), ("step", "f8"), ("lo", "f8"), ("hi", "f8"), ("open", "?")]
+
+
+def _edge(m: Measure, time: np.ndarray, value: np.ndarray, step: np.ndarray, lim: Limits) -> tuple[np.ndarray, float]:
+    """The last readings of a measure in a block, and its first value; for the first readings, give the block reversed."""
+    e = np.zeros(min(len(value), _context(lim)), EDGE)
+    if not len(e):
+        return e, np.nan
+    run = np.concatenate([[0], np.cumsum(~_near(m, value[1:], value[:-1], lim))])
+    from_ = len(value) - len(e)
+    e["t"], e["v"], e["step"], e["open"] = time[from_:], value[from_:], step[from_:], run[from_:] == 0
+    start = np.searchsorted(run, run[from_])
+    for r in range(run[from_], run[-1] + 1):
+        here = slice(start if r == run[from_] else np.searchsorted(run, r), np.searchsorted(run, r, "right"))
+        keep = slice(max(here.start, from_) - from_, here.stop - from_)
+        drop = max(here.start, from_) - here.start
+        e["lo"][keep] = np.minimum.accumulate(value[here])[drop:]
+        e["hi"][keep] = np.maximum.accumulate(value[here])[drop:]
+    return e, float(value[0])
+
+
+def _carry(m: Measure, before: np.ndarray, own: tuple[np.ndarray, float], lim: Limits) -> np.ndarray:
+    """The last readings up to and including a block, from those before it and the block's own."""
+    e, first = own
+    if len(before) and len(e) and _near(m, before["v"][-1], first, lim):
+        e = e.copy()
+        e["lo"] = np.where(e["open"], np.minimum(e["lo"], before["lo"][-1]), e["lo"])
+        e["hi"] = np.where(e["open"], np.maximum(e["hi"], before["hi"][-1]), e["hi"])
+    return np.concatenate([before, e])[-_context(lim) :]
+
+
+def _groups(batches: Iterator[pa.RecordBatch], keys: Sequence[str]) -> Iterator[pa.Table]:
+    """Whole groups of rows that are sorted by the keys."""
+    kept: list[pa.RecordBatch] = []
+    for b in batches:
+        if not b.num_rows:
+            continue
+        t = pa.Table.from_batches([*kept, b])
+        columns = [t[k].to_numpy(zero_copy_only=False) for k in keys]
+        new = np.flatnonzero(np.any([c[1:] != c[:-1] for c in columns], axis=0)) + 1
+        starts = [0, *new.tolist()]
+        for i, j in zip(starts[:-1], starts[1:], strict=True):
+            yield t.slice(i, j - i)
+        kept = t.slice(starts[-1]).combine_chunks().to_batches()
+    if kept:
+        yield pa.Table.from_batches(kept)
+
+
+def _edges(measures: Sequence[Measure], lim: Limits):
+    """Per block, what its neighbours need of it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in _groups(batches, ["src", "block"]):
+            time = t["t"].to_numpy().astype(float)
+            step = _steps(np.zeros(len(time), int), time)
+            last, first = [], []
+            for i, m in enumerate(measures):
+                v = t[f"m{i}"].to_numpy(zero_copy_only=False).astype(float)
+                at = np.flatnonzero(np.isfinite(v) & (v > 0))
+                last.append(_edge(m, time[at], v[at], step[at], lim))
+                first.append(_edge(m, time[at][::-1], v[at][::-1], step[at][::-1], lim))
+            edge = pa.array([pickle.dumps((time[0], time[-1], last, first))], pa.binary())
+            yield pa.RecordBatch.from_arrays([t["src"].slice(0, 1).combine_chunks(), t["block"].slice(0, 1).combine_chunks(), edge], names=["src", "block", "edge"])
+
+    return run
+
+
+def _carrier(measures: Sequence[Measure], lim: Limits, forward: bool):
+    """From the edges of a source's blocks in order, or in reverse, what each block is shown of those before it."""
+
+    def shown(t: pa.Table) -> Iterator[pa.RecordBatch]:
+        src, block = t["src"].combine_chunks(), t["block"].combine_chunks()
+        for i in range(t.num_rows):
+            at, text = src[i].as_py(), t["edge"][i].as_py()
+            begins, ends, last, first = pickle.loads(text)
+            if at != state["src"]:
+                state.update(src=at, time=np.nan, before=[np.zeros(0, EDGE) for _ in measures], first=None)
+            waiting = state["first"]
+            if not forward and waiting is not None:
+                # the step of a block's first reading needs the block before it, which comes now
+                state["before"] = [_carry(m, b, (_stepped(e, waiting[0], ends), v), lim) for m, b, (e, v) in zip(measures, state["before"], waiting[1], strict=True)]
+            yield pa.RecordBatch.from_arrays(
+                [src.slice(i, 1), block.slice(i, 1), pa.array([-2 if forward else -1], pa.int32()), pa.array([pickle.dumps((state["time"], state["before"]))], pa.binary())],
+                names=["src", "block", "pos", "shown"],
+            )
+            if forward:
+                state["before"] = [_carry(m, b, (_stepped(e, begins, state["time"]), v), lim) for m, b, (e, v) in zip(measures, state["before"], last, strict=True)]
+                state["time"] = ends
+            else:
+                state["first"] = (begins, first)
+
+    state: dict = {}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        state.update(src=None, time=np.nan, before=[], first=None)
+        for b in batches:
+            if b.num_rows:
+                yield from shown(pa.Table.from_batches([b]))
+
+    return run
+
+
+def _stepped(e: np.ndarray, begins: float, previous: float) -> np.ndarray:
+    """Edge readings with the step of the block's first reading, if it is among them."""
+    open_ = ~np.isfinite(e["step"])
+    if not open_.any() or np.isnan(previous):
+        return e
+    e = e.copy()
+    e["step"][open_] = max(begins - previous, 1)
+    return e
+
+
 def _flagger(measures: Sequence[Measure], lim: Limits, chunk_rows: int = 60_000):
     names = [f"m{i}" for i in range(len(measures))]
 
-    def judge(t: pa.Table) -> Iterator[pa.RecordBatch]:
+    def judge(every: pa.Table) -> Iterator[pa.RecordBatch]:
         numbers = lambda c: t[c].to_numpy(zero_copy_only=False)
-        src, block, time = (numbers(c) for c in ("src", "block", "t"))
-        source = np.cumsum(np.concatenate([[True], (src[1:] != src[:-1]) | (block[1:] != block[:-1])])) - 1
-        own = np.asarray(t["own"])
-        for m, c in zip(measures, names, strict=True):
+        pos = every["pos"].to_numpy()
+        group = lambda x: np.cumsum(np.concatenate([[True], np.any([x[c].to_numpy(zero_copy_only=False)[1:] != x[c].to_numpy(zero_copy_only=False)[:-1] for c in ("src", "block")], axis=0)])) - 1
+        groups = group(every)
+        mine = np.flatnonzero(pos == 0)
+        t, source = every.take(pa.array(mine)), groups[mine]
+        time = numbers("t").astype(np.int64)
+        step = _steps(source, time)
+        around: list[tuple[int, int, list[np.ndarray]]] = []
+        for i in np.flatnonzero(pos != 0):
+            previous, edges = pickle.loads(every["shown"][int(i)].as_py())
+            around.append((int(groups[i]), int(pos[i]), edges))
+            if pos[i] == -2 and not np.isnan(previous):
+                at = np.searchsorted(source, groups[i])
+                step[at] = max(time[at] - previous, 1)
+        for k, (m, c) in enumerate(zip(measures, names, strict=True)):
             v, p = numbers(c).astype(float), ~np.asarray(t[c].is_null())
-            reason = flag_measure(m, source, time, v, p, lim)
-            hit = np.flatnonzero((reason > 0) & own)
+            own, columns = np.arange(len(v)), [source, time, v, p, step, v, v]
+            if around:
+                parts = [(np.full(len(e[k]), g), np.full(len(e[k]), q), e[k] if q == -2 else e[k][::-1]) for g, q, e in around]
+                e = np.concatenate([x[2] for x in parts])
+                more = [np.concatenate([x[0] for x in parts]), e["t"].astype(np.int64), e["v"], np.ones(len(e), bool), e["step"], e["lo"], e["hi"]]
+                place = np.concatenate([np.zeros(len(v), int), np.where(np.concatenate([x[1] for x in parts]) == -2, -1, 1)])
+                columns = [np.concatenate([a, b]) for a, b in zip(columns, more, strict=True)]
+                order = np.lexsort((np.arange(len(place)), place, columns[0]))
+                columns = [x[order] for x in columns]
+                own = np.flatnonzero(order < len(v))
+            src, at, value, there, since, lo, hi = columns
+            reason = flag_measure(m, src, at, value, there, lim, since, (lo, hi))[own]
+            hit = np.flatnonzero(reason > 0)
             if len(hit):
                 reading = t.select(["src", "t", *names]).take(pa.array(hit)).combine_chunks()
-                more = [pa.array([m.name] * len(hit), pa.string()), pa.array(REASONS[reason[hit]], pa.string()), pa.array(v[hit], pa.float64())]
-                yield pa.RecordBatch.from_arrays([*[x.combine_chunks() if isinstance(x, pa.ChunkedArray) else x for x in reading.columns], *more], names=["src", "t", *names, "field", "reason", "value"])
+                verdict = [pa.array([m.name] * len(hit), pa.string()), pa.array(REASONS[reason[hit]], pa.string()), pa.array(v[hit], pa.float64())]
+                yield pa.RecordBatch.from_arrays([*[x.combine_chunks() if isinstance(x, pa.ChunkedArray) else x for x in reading.columns], *verdict], names=["src", "t", *names, "field", "reason", "value"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: list[pa.RecordBatch] = []
@@ -277,7 +443,9 @@ def flag_implausible(
     previous reading: trend is a running median, season the median by phase of what is left, scale the median absolute
     deviation, shrunk to the field's prior for sources with few readings. A source is judged as a whole, up to
     `hot_rows` readings; a larger one in blocks of successive time ranges of `block_rows` readings on average, so that a
-    source that holds a third of the table is spread over many tasks and yet meets its own behaviour.
+    source that holds a third of the table is spread over many tasks and yet meets its own behaviour. Steps and runs
+    are those of the whole source, and a trend at a block's border sees the readings beyond it; levels, seasons, scales
+    and the limits made of them are the block's.
 
     Nulls and zeros are no cases and break no run. Rows with equal measurements of one source and time are one reading,
     counted and judged once and reported under each of their ids, whatever their number. Rows without source or time are only checked for range, per row,
@@ -296,17 +464,30 @@ def flag_implausible(
         .where(F.col("n") > hot_rows)
         .select("src", "t0", F.greatest(F.ceil((F.col("t1") - F.col("t0") + 1) / F.ceil(F.col("n") / block_rows)), F.lit(4 * limits.reach)).alias("span"))
     )
-    # readings near a block's border are shown to every block within reach too, as context for trends, steps and runs
-    block_at = lambda t: F.floor((t - F.col("t0")) / F.col("span")).cast("long")
-    blocks = lookup_join(readings, hot, ["src"], "left").withColumn("_own", F.coalesce(block_at(F.col("t")), F.lit(0).cast("long")))
-    beside = F.sequence(block_at(F.col("t") - limits.reach), block_at(F.col("t") + limits.reach))
-    blocks = blocks.withColumn("block", F.explode(F.when(F.col("span").isNull(), F.array("_own")).otherwise(beside)))
+    hot = written(hot, "hot")
+    block = F.floor((F.col("t") - F.col("t0")) / F.col("span")).cast("long")
     order = ["src", "block", "t", *names]
-    kind = f"src {readings.schema['src'].dataType.simpleString()}, t long, {', '.join(f'{c} double' for c in names)}, field string, reason string, value double"
-    flagged = (
-        blocks.select(*order, (F.col("block") == F.col("_own")).alias("own"))
+    src = readings.schema["src"].dataType.simpleString()
+    # each block of a hot source is shown the last readings before it and the first after it, with the runs they are part of
+    edges = (
+        lookup_join(readings, hot, ["src"])
+        .select(*order[:1], block.alias("block"), *order[2:])
         .repartition("src", "block")
         .sortWithinPartitions(*order)
+        .mapInArrow(_edges(measures, limits), f"src {src}, block long, edge binary")
+    )
+    edges = written(edges, "edges").repartition("src")
+    around = [
+        edges.sortWithinPartitions("src", F.asc("block") if forward else F.desc("block")).mapInArrow(_carrier(measures, limits, forward), f"src {src}, block long, pos int, shown binary")
+        for forward in (True, False)
+    ]
+    blocks = lookup_join(readings, hot, ["src"], "left").select("src", F.coalesce(block, F.lit(0).cast("long")).alias("block"), F.lit(0).alias("pos"), "t", *names)
+    for shown in around:
+        blocks = blocks.unionByName(shown, allowMissingColumns=True)
+    kind = f"src {src}, t long, {', '.join(f'{c} double' for c in names)}, field string, reason string, value double"
+    flagged = (
+        blocks.repartition("src", "block")
+        .sortWithinPartitions("src", "block", "pos", "t", *names)
         .mapInArrow(_flagger(measures, limits), kind)
     )
     # verdicts on readings go to all rows that hold them; equality of nulls by a mask beside the values
