@@ -94,6 +94,30 @@ def test_balls_goals_and_two_tracking_detectors(spark):
     assert len(tables["detections_report"].columns) == 11
 
 
+def test_detectors_suppress_by_their_own_limits(spark):
+    def model():
+        def run(b: pd.DataFrame) -> pd.DataFrame:
+            one = pd.DataFrame({"match_id": b["match_id"], "frame_num": b["frame_num"], "class_id": 0, "track_id": 0, "x1": 0, "y1": 0, "x2": 20, "y2": 10, "confidence": 0.9})
+            return pd.concat([one, one.assign(x1=6, x2=26, confidence=0.8)])  # overlap 14 / 26 = 0.54
+
+        return run
+
+    models = detection.Detectors()
+    for name, kind, more in (("ball", "ball", {}), ("goal", "goal", {}), ("player", "player", {}), ("strict", "player", {"most_overlap": 0.5})):
+        models.add(detection.Detector(name, model, (0,), kind=kind, **more))
+    found = models.run_named(pictures(spark, 7, 1)).groupBy("detector").count().collect()
+    assert {r.detector: r["count"] for r in found} == {"ball": 1, "goal": 1, "player": 2, "strict": 1}
+
+
+def test_goal_rows_are_filtered(spark, data):
+    from touchline.plans import reference
+    from touchline.sources.files import goal_frames
+
+    want = goal_frames(spark, data).where("coalesce(confidence, 0.3) >= 0.15").select("id").distinct().count()
+    got = reference.QUERIES["goal_conf_filter"](spark, data).collect()
+    assert 0 < want == len({r.id for r in got}) and {r["class"] for r in got} == {"goal"}
+
+
 def test_failing_steps_are_tried_again(spark):
     calls = []
 

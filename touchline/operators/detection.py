@@ -17,6 +17,8 @@ from touchline.session import ship
 DETECTION = "match_id int, frame_num int, class_id int, track_id int, x1 int, y1 int, x2 int, y2 int, confidence double"
 #: Least confidences of the detectors.
 THRESHOLDS = {"ball": 0.1, "goal": 0.15, "player": 0.15}
+#: Overlaps beyond which a detector's less confident box goes.
+OVERLAPS = {"ball": 0.45, "goal": 0.45, "player": 0.55}
 #: Confidence of a detection that comes without one.
 MISSING_CONFIDENCE = 0.3
 
@@ -28,6 +30,7 @@ class Detector:
     """A named model: `load` runs once per worker process and gives the function from frames to detections.
 
     kind: what it looks for, "ball", "goal" or "player"; classes are the model's own numbers.
+    most_overlap: limit of `suppress`, that of the kind unless given.
     """
 
     name: str
@@ -36,6 +39,7 @@ class Detector:
     least_confidence: float = 0.15
     tracking: bool = False
     kind: str = "player"
+    most_overlap: float | None = None
 
 
 @dataclass
@@ -53,8 +57,9 @@ class Detectors:
         return reduce(DataFrame.unionByName, [detect(frames, d) for d in self.items])
 
     def run_named(self, frames: DataFrame) -> DataFrame:
-        """As `run`, with the detector's name and kind."""
-        named = [detect(frames, d).withColumns({"detector": F.lit(d.name), "kind": F.lit(d.kind)}) for d in self.items]
+        """As `run`, less overlapping boxes by each detector's limit, with the detector's name and kind."""
+        limit = lambda d: OVERLAPS[d.kind] if d.most_overlap is None else d.most_overlap
+        named = [suppress(detect(frames, d), limit(d)).withColumns({"detector": F.lit(d.name), "kind": F.lit(d.kind)}) for d in self.items]
         return reduce(DataFrame.unionByName, named)
 
 

@@ -89,8 +89,17 @@ def class_conf_filter(s, d):
         .unionByName(table(s, d, "ball_states").select("id", F.lit("ball").alias("class"), "x1", "y1", "x2", "y2", "confidence"))
         .distinct()
     )
+    return _confident(both)
+
+
+def goal_conf_filter(s, d):
+    """class_conf_filter of goal-frame sightings, which its SQL doesn't read."""
+    return _confident(goal_frames(s, d).select("id", F.lit("goal").alias("class"), "x1", "y1", "x2", "y2", "confidence").distinct())
+
+
+def _confident(rows: DataFrame) -> DataFrame:
     least = F.element_at(F.create_map(*[F.lit(x) for kv in detection.THRESHOLDS.items() for x in kv]), F.col("class"))
-    return both.withColumn("confidence", F.coalesce("confidence", F.lit(detection.MISSING_CONFIDENCE))).where(F.col("confidence") >= least).select("id", "class", *[F.col(c).cast("int").alias(c) for c in ("x1", "y1", "x2", "y2")], "confidence")
+    return rows.withColumn("confidence", F.coalesce("confidence", F.lit(detection.MISSING_CONFIDENCE))).where(F.col("confidence") >= least).select("id", "class", *[F.col(c).cast("int").alias(c) for c in ("x1", "y1", "x2", "y2")], "confidence")
 
 
 # -- versions and mutations -----------------------------------------------------------------------------------------------
@@ -395,7 +404,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         reid_merge_map, balls_by_match, goals_by_match, players_by_match, state_by_track_frame, states_by_frame, states_by_frame_range, player_by_id_first,
-        class_conf_filter, latest_players, player_upsert, state_insert_if_absent, team_color_last_write, numbers_cascade_delete, centroids,
+        class_conf_filter, goal_conf_filter, latest_players, player_upsert, state_insert_if_absent, team_color_last_write, numbers_cascade_delete, centroids,
         track_partition_ghosts, track_summaries, color_distance, reid_candidates, reid_merged_states, reid_surviving_players, reid_summary,
         reid_frame_conflicts, near_frame_band, detection_report, report_boxes, recognition_frequency, average_confidence, tracking_persistence,
         report_csv_roundtrip, step_timing_stats, timing_json_roundtrip, frame_batches, frame_displacement, frame_speed, depth_ema, depth_gate,
