@@ -172,3 +172,14 @@ def test_broadcast_limits(spark):
     df = spark.createDataFrame([(1, "x" * 100, [1.0]), (2, None, None)], "k int, t string, v array<double>")
     assert fits_broadcast(df, 2, 1000) and not fits_broadcast(df, 1, 1000) and not fits_broadcast(df, 2, 100)
     assert fits_broadcast(df.limit(0), 0, 0)
+
+
+def test_shirt_numbers_follow_merged_players(spark, data):
+    from touchline.plans import reference
+
+    q = {n: reference.QUERIES[n](spark, data) for n in ("reid_merge_map", "reid_merged_numbers")}
+    root = {r.member: r.root for r in q["reid_merge_map"].collect()}
+    rows = {(r.id, r.player_id, r.number, r.frame_number) for r in spark.read.parquet(f"{data}/players_numbers.parquet").collect()}
+    got = {(r.id, r.player_id, r.number, r.frame_number) for r in q["reid_merged_numbers"].collect()}
+    assert got == {(i, root.get(p, p), n, f) for i, p, n, f in rows}
+    assert not {p for _, p, _, _ in got} & set(root) and {p for _, p, _, _ in rows} & set(root)

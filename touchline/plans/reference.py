@@ -183,6 +183,12 @@ def reid_merged_states(s, d):
     return versions.repoint(_states(s, d, ["id", "player_id", "frame_number"]), _merges(s, d), "player_id")
 
 
+def reid_merged_numbers(s, d):
+    """Shirt-number readings with their player after merging; copies come out once."""
+    rows = table(s, d, "players_numbers").select("id", "player_id", "number", "confidence", "frame_number").distinct()
+    return versions.repoint(rows, _merges(s, d), "player_id")
+
+
 def reid_surviving_players(s, d):
     return versions.without(_players(s, d).select("id", "match_id", "track_id"), _merges(s, d).select("member"), "id")
 
@@ -405,7 +411,7 @@ QUERIES = {
     for f in (
         reid_merge_map, balls_by_match, goals_by_match, players_by_match, state_by_track_frame, states_by_frame, states_by_frame_range, player_by_id_first,
         class_conf_filter, goal_conf_filter, latest_players, player_upsert, state_insert_if_absent, team_color_last_write, numbers_cascade_delete, centroids,
-        track_partition_ghosts, track_summaries, color_distance, reid_candidates, reid_merged_states, reid_surviving_players, reid_summary,
+        track_partition_ghosts, track_summaries, color_distance, reid_candidates, reid_merged_states, reid_merged_numbers, reid_surviving_players, reid_summary,
         reid_frame_conflicts, near_frame_band, detection_report, report_boxes, recognition_frequency, average_confidence, tracking_persistence,
         report_csv_roundtrip, step_timing_stats, timing_json_roundtrip, frame_batches, frame_displacement, frame_speed, depth_ema, depth_gate,
         depth_constant, bbox_clamp, hip_point, vector_minmax, vector_standardize, cluster_pick, hex_color, storage_keys, label_text, enum_map,
