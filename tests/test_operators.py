@@ -183,3 +183,18 @@ def test_shirt_numbers_follow_merged_players(spark, data):
     got = {(r.id, r.player_id, r.number, r.frame_number) for r in q["reid_merged_numbers"].collect()}
     assert got == {(i, root.get(p, p), n, f) for i, p, n, f in rows}
     assert not {p for _, p, _, _ in got} & set(root) and {p for _, p, _, _ in rows} & set(root)
+
+
+def test_streamed_states_come_out_whole(spark, data):
+    from touchline.plans import reference
+
+    columns = ["id", "player_id", "frame_number", "confidence", "x1", "y1", "x2", "y2"]
+    got = [tuple(map(str, r)) for r in reference.QUERIES["stream_state_insert"](spark, data).select(*columns).collect()]
+    rows = {tuple(map(str, r)) for r in spark.read.parquet(f"{data}/players_states.parquet").select(*columns).collect()}
+    batch = {tuple(map(str, r[:3])) for r in reference.QUERIES["state_insert_if_absent"](spark, data).select(*columns[:3]).collect()}
+    assert set(got) <= rows and len(got) == len({r[1:3] for r in got}) and {r[1:3] for r in got} == {b[1:] for b in batch}
+    ids: dict = {}
+    for r in rows:
+        ids.setdefault(r[1:3], set()).add(r[0])
+    alone = {k for k, v in ids.items() if len(v) == 1}  # without a rival state both must insert the same one
+    assert {r[:3] for r in got if r[1:3] in alone} == {b for b in batch if b[1:] in alone}

@@ -380,8 +380,15 @@ def grouped_udaf_range(s, d):
 # -- streams --------------------------------------------------------------------------------------------------------------
 
 
+def stream_state_insert(s, d):
+    """The states a stream inserts: of each player and frame, the one that came first."""
+    states = stream(s, d, "players_states").select("id", "player_id", "frame_number", "x1", "y1", "x2", "y2", "confidence", "timestamp")
+    return stateful.drain(stateful.first_states(states), "states")
+
+
 def stream_state_dedupe(s, d):
-    return stateful.drain(stateful.first_states(stream(s, d, "players_states")), "states")
+    """Keys of the states that a stream inserts."""
+    return stream_state_insert(s, d).select("player_id", "frame_number")
 
 
 def _depth_stream(s, d):
@@ -415,6 +422,6 @@ QUERIES = {
         reid_frame_conflicts, near_frame_band, detection_report, report_boxes, recognition_frequency, average_confidence, tracking_persistence,
         report_csv_roundtrip, step_timing_stats, timing_json_roundtrip, frame_batches, frame_displacement, frame_speed, depth_ema, depth_gate,
         depth_constant, bbox_clamp, hip_point, vector_minmax, vector_standardize, cluster_pick, hex_color, storage_keys, label_text, enum_map,
-        crop_slice, jersey_color_kmeans, detector_udtf, grouped_udaf_range, stream_state_dedupe, stream_ema, stream_gate, stream_windows,
+        crop_slice, jersey_color_kmeans, detector_udtf, grouped_udaf_range, stream_state_insert, stream_state_dedupe, stream_ema, stream_gate, stream_windows,
     )
 }

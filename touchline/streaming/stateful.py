@@ -32,8 +32,8 @@ def drain(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
 
 
 def first_states(states: DataFrame) -> DataFrame:
-    """One row per player and frame, whichever copy comes first; the state keeps the keys seen."""
-    return states.select("player_id", "frame_number").dropDuplicates(["player_id", "frame_number"])
+    """One state per player and frame with all its columns, whichever comes first; the stream's state keeps the keys seen."""
+    return states.dropDuplicates(["player_id", "frame_number"])
 
 
 def _ordered(parts: Iterator[pd.DataFrame], order: str, tie: str, value: str) -> pd.DataFrame:
