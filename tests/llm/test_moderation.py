@@ -69,3 +69,22 @@ def test_without_labels(spark, data):
     labels = table(spark, data, "moderation_labels")
     model = fit_moderation(docs, labels.limit(0))
     assert model.score_texts(["you fucking idiot"])[0] > model.score_texts(["what a lovely evening"])[0]
+
+
+def test_every_negative_passage_is_trained_on(monkeypatch):
+    from touchline.llm import moderation
+
+    class Seen(Exception):
+        pass
+
+    def fit(rows, label, weight, *_, **__):
+        raise Seen(len({r for r, y, w in zip(rows, label, weight, strict=True) if y == 0 and w > 0}))
+
+    monkeypatch.setattr(moderation, "_fit", fit)
+    syllables = [a + b for a in "bdfgklmnprstvz" for b in "aeiou"]
+    name = lambda n: syllables[n % 70] + syllables[n // 70 % 70] + syllables[n // 4900 % 70]
+    texts = [" ".join(f"The match of {name(300 * d + k)} was quiet." for k in range(300)) for d in range(330)]
+    with pytest.raises(Seen) as e:
+        moderation.train(texts, [[("a", 0)]] * len(texts))
+    distinct = {p for i, t in enumerate(texts) if i % 3 for p in moderation.passages(t)}
+    assert len(distinct) > 60_000 and e.value.args[0] >= len(distinct)

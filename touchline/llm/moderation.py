@@ -238,12 +238,13 @@ def _patterns(split: list[list[str]], rare: float = 0.006) -> dict[str, str]:
     return out
 
 
-def train(texts: list[str | None], votes: list[list[tuple[str, int]]], max_passages: int = 60_000, fairness: float = 1.0, seed: int = 7) -> Model:
+def train(texts: list[str | None], votes: list[list[tuple[str, int]]], max_passages: int | None = None, fairness: float = 1.0, seed: int = 7) -> Model:
     """Fit the passage model to labelled texts.
 
     A label holds for a text, a case for a passage: the passages of texts without a case are negative; of a text with
     a case, the passage of the highest score so far is positive. Rounds alternate between fitting and weighing the
-    annotators' votes with the model's own, out of fold.
+    annotators' votes with the model's own, out of fold. Every passage of the texts takes part, unless `max_passages`
+    bounds the negative ones to a random sample.
     """
     rng = random.Random(seed)
     split = [passages(t) for t in texts]
@@ -291,7 +292,7 @@ def train(texts: list[str | None], votes: list[list[tuple[str, int]]], max_passa
                 share = pattern_plus[k] / (pattern_plus[k] + pattern_minus[k])  # patterns that mostly stand in clean texts are clean
                 items.append((r, share if share > 0.35 else 0.0, min(1.0, total) * (1 + np.log2(max(1.0, total)))))
         positive, negative = [x for x in items if x[1] > 0.5], [x for x in items if x[1] <= 0.5]
-        if len(negative) > max_passages:
+        if max_passages is not None and len(negative) > max_passages:
             negative = rng.sample(negative, max_passages)
         boost = min(3.0, max(1.0, 0.2 * sum(x[2] for x in negative) / max(sum(x[2] for x in positive), 1e-9)))
         out = [(r, y, w * boost) for r, y, w in positive] + negative
