@@ -83,11 +83,11 @@ def test_insert_absent_and_latest(spark):
     assert versions.latest_version(rows, ["id"], ["t"]).collect() == [(1, 2, None)]
 
 
-@pytest.mark.parametrize("limit", [1000, 1])
+@pytest.mark.parametrize("limit", [100_000, 1])
 def test_lookup_join_both_ways(spark, limit):
     large = spark.createDataFrame([(1, "a"), (1, "b"), (2, "c"), (None, "d")], "k int, v string")
     small = spark.createDataFrame([(1, 10), (3, 30), (None, 0)], "k int, w int")
-    rows = lambda how: sorted(lookup_join(large, small if "semi" not in how and "anti" not in how else small.select("k"), ["k"], how, limit, 4).collect(), key=str)
+    rows = lambda how: sorted(lookup_join(large, small if "semi" not in how and "anti" not in how else small.select("k"), ["k"], how, limit).collect(), key=str)
     assert rows("inner") == [(1, "a", 10), (1, "b", 10)]
     assert {r.v: r.w for r in rows("left")} == {"a": 10, "b": 10, "c": None, "d": None}
     assert [r.v for r in rows("left_semi")] == ["a", "b"] and sorted(r.v for r in rows("left_anti")) == ["c", "d"]
@@ -170,8 +170,31 @@ def test_merges_of_the_tracklet_fixture(spark, data):
 
 def test_broadcast_limits(spark):
     df = spark.createDataFrame([(1, "x" * 100, [1.0]), (2, None, None)], "k int, t string, v array<double>")
-    assert fits_broadcast(df, 2, 1000) and not fits_broadcast(df, 1, 1000) and not fits_broadcast(df, 2, 100)
-    assert fits_broadcast(df.limit(0), 0, 0)
+    assert fits_broadcast(df, 400) and not fits_broadcast(df, 250) and not fits_broadcast(df, 100)
+    assert fits_broadcast(df.limit(0), 0)
+
+
+def test_large_lookups_are_never_broadcast(spark, tmp_path):
+    """A lookup whose compressed file is far below Spark's own threshold, yet too large in memory."""
+    spark.range(300_000).selectExpr("id div 2 as k", "1 as w").write.parquet(f"{tmp_path}/lookup")
+    lookup, large = spark.read.parquet(f"{tmp_path}/lookup"), spark.range(1000).selectExpr("id as k", "id as v")
+    for side in (lookup, lookup.distinct()):
+        plan = lookup_join(large, side, ["k"])
+        assert plan.count() in (1000, 2000)
+        assert "BroadcastHashJoin" not in plan._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in lookup_join(large, lookup.limit(10), ["k"])._jdf.queryExecution().executedPlan().toString()
+
+
+def test_clusters_must_name_a_shared_folder():
+    from types import SimpleNamespace
+
+    from touchline.session import shared_dir
+
+    absent = SimpleNamespace(get=lambda name, default: default)
+    empty = SimpleNamespace(sc=lambda: SimpleNamespace(getCheckpointDir=lambda: SimpleNamespace(isEmpty=lambda: True)))
+    cluster = SimpleNamespace(sparkContext=SimpleNamespace(getConf=lambda: absent, master="spark://host:7077", _jsc=empty), conf=absent)
+    with pytest.raises(ValueError, match="checkpoint.dir"):
+        shared_dir(cluster)
 
 
 def test_shirt_numbers_follow_merged_players(spark, data):

@@ -54,33 +54,41 @@ def orphan_references(references: Sequence[Reference], parents: dict[str, DataFr
     Columns: ref_table, ref_field, ref_id, kind ("missing" or "late"), created_at of the referring row. One row per
     reference; exact copies count once. A parent's creation is the earliest of its versions.
 
-    Integer keys are their own codes; if any key is of another type, all are encoded by `dictionary`. References are gathered into bitmaps per field, key range and
-    period, parents into bitmaps per key range and period of creation, of which a range has at most 64. AND NOT with
-    all parents leaves missing keys; AND NOT with the parents of earlier periods leaves keys that may be late, which an
-    exact comparison of the two creation times decides. Surviving bits are decoded into keys, written to the shared
-    folder, and meet their rows; the referring rows themselves aren't shuffled while the survivors are few.
+    Integer keys are their own codes; if any key is of another type, all are encoded by `dictionary`. A table and field
+    is a small number. References are first reduced to the earliest row of each field, key and period, then gathered
+    into bitmaps per field, key range and period, of which only words that aren't empty are held; parents into bitmaps
+    per key range and period of creation. AND NOT with all parents leaves missing keys; AND NOT with the parents of
+    earlier periods leaves keys that may be late, which is decided for a key and period by its earliest row. Only
+    surviving bits, of which each stands for at least one orphan, are decoded, written and met with their rows.
 
     Nulls: a null reference is none; a null creation time of the row or of all versions of its parent is never late.
     Empty tables give no rows, except that all references to an empty parent table are missing.
     """
     types = [r.rows.schema[f].dataType for r in references for f, _ in r.fields] + [p.schema[parent_key].dataType for p in parents.values()]
     kind = "long" if all(isinstance(t, IntegralType) for t in types) else "string"
+    names, target_no = [], {name: i for i, name in enumerate(parents)}
+    small = lambda i: F.lit(i).cast("smallint")
     refs = None
     for r in references:
-        pairs = [F.struct(F.lit(f).alias("ref_field"), F.lit(t).alias("target"), F.col(f).cast(kind).alias("key")) for f, t in r.fields]
-        one = r.rows.select(F.lit(r.table).alias("ref_table"), F.col(row_id).cast("long").alias("ref_id"), F.col(created).alias("created_at"), F.inline(F.array(*pairs)))
+        pairs = []
+        for f, t in r.fields:
+            pairs.append(F.struct(small(len(names)).alias("field"), small(target_no[t]).alias("target"), F.col(f).cast(kind).alias("key")))
+            names.append((r.table, f))
+        one = r.rows.select(F.col(row_id).cast("long").alias("ref_id"), F.col(created).alias("created_at"), F.inline(F.array(*pairs)))
         refs = one if refs is None else refs.unionByName(one)
     refs = refs.where(F.col("key").isNotNull()).withColumn("period", F.coalesce(_period(F.col("created_at")), F.lit(-1)))
 
     known = None
     for name, df in parents.items():
-        one = df.select(F.lit(name).alias("target"), F.col(parent_key).cast(kind).alias("key"), F.col(created).alias("born"))
+        one = df.select(small(target_no[name]).alias("target"), F.col(parent_key).cast(kind).alias("key"), F.col(created).alias("born"))
         known = one if known is None else known.unionByName(one)
     known = known.where("key is not null").groupBy("target", "key").agg(F.min("born").alias("born"))
     if kind == "string":
         codes = written(dictionary(refs.select("key"), known.select("key")), "dictionary")
         refs = lookup_join(refs, codes, ["key"]).drop("key").withColumnRenamed("code", "key")
         known = lookup_join(known, codes, ["key"]).drop("key").withColumnRenamed("code", "key")
+    known = written(known, "parents")  # read for the bitmaps and for the times of survivors
+    earliest = written(refs.groupBy("field", "target", "key", "period").agg(F.min("created_at").alias("first_at")), "references")
 
     parent_bits = (
         known.groupBy("target", _word(F.col("key")).alias("word"), F.coalesce(_period(F.col("born")), F.lit(-1)).alias("period"))
@@ -88,41 +96,35 @@ def orphan_references(references: Sequence[Reference], parents: dict[str, DataFr
         .groupBy("target", "word")
         .agg(F.collect_list(F.struct("period", "bits")).alias("parents"), F.bit_or("bits").alias("every"))
     )
-    ref_bits = refs.groupBy("ref_table", "ref_field", "target", _word(F.col("key")).alias("word"), "period").agg(F.bit_or(_bit(F.col("key"))).alias("bits"))
-    met = ref_bits.join(parent_bits, ["target", "word"], "left")
-    earlier = F.aggregate(
+    ref_bits = earliest.groupBy("field", "target", _word(F.col("key")).alias("word"), "period").agg(F.bit_or(_bit(F.col("key"))).alias("bits"))
+    met = ref_bits.join(parent_bits.hint("merge"), ["target", "word"], "left")
+    before = F.aggregate(
         F.filter(F.coalesce("parents", F.expr("cast(array() as array<struct<period:bigint,bits:bigint>>)")), lambda p: p["period"] < F.col("period")),
         F.lit(0).cast("long"),
         lambda a, p: a.bitwiseOR(p["bits"]),
     )
     every = F.coalesce("every", F.lit(0).cast("long"))
-    left = met.select(
-        "ref_table",
-        "ref_field",
-        "target",
-        "word",
-        "period",
-        F.col("bits").bitwiseAND(F.bitwise_not(every)).alias("gone"),
-        F.col("bits").bitwiseAND(every).bitwiseAND(F.bitwise_not(earlier)).alias("open"),
+    gone = F.struct(F.lit(True).alias("absent"), F.col("bits").bitwiseAND(F.bitwise_not(every)).alias("left"))
+    may_be_late = F.struct(F.lit(False).alias("absent"), F.col("bits").bitwiseAND(every).bitwiseAND(F.bitwise_not(before)).alias("left"))
+    survivors = met.select("field", "target", "word", "period", F.inline(F.array(gone, may_be_late))).where("left <> 0")
+    decoded = survivors.withColumn("b", F.explode(F.expr("filter(sequence(0, 63), b -> (shiftright(left, b) & 1L) = 1L)"))).select(
+        "field", "target", "period", "absent", (F.shiftleft("word", WORD_BITS) + F.col("b")).alias("key")
     )
-    survivors = left.select(
-        "ref_table",
-        "ref_field",
-        "target",
-        "word",
-        "period",
-        F.inline(F.array(F.struct(F.lit(True).alias("absent"), F.col("gone").alias("bits")), F.struct(F.lit(False).alias("absent"), F.col("open").alias("bits")))),
-    ).where("bits <> 0")
-    decoded = survivors.withColumn("b", F.explode(F.expr("filter(sequence(0, 63), b -> (shiftright(bits, b) & 1L) = 1L)"))).select(
-        "ref_table", "ref_field", "target", "period", "absent", (F.shiftleft("word", WORD_BITS) + F.col("b")).alias("key")
+    missing = decoded.where("absent").select("field", "key", "period", "absent", F.lit(None).cast("timestamp").alias("born"))
+    late = (
+        decoded.where("not absent")
+        .join(known.hint("merge"), ["target", "key"])
+        .join(earliest.hint("merge"), ["field", "target", "key", "period"])
+        .where("born > first_at")
+        .select("field", "key", "period", "absent", "born")
     )
-    candidates = written(decoded.join(known, ["target", "key"], "left").drop("target"), "orphans")
-    rows = lookup_join(refs.drop("target"), candidates, ["ref_table", "ref_field", "key", "period"])
-    late = F.coalesce(F.col("born") > F.col("created_at"), F.lit(False))
+    orphans = written(missing.unionByName(late), "orphans")
+    rows = lookup_join(refs.drop("target"), orphans, ["field", "key", "period"]).where(F.col("absent") | (F.col("born") > F.col("created_at")))
+    name = F.array(*[F.struct(F.lit(t).alias("t"), F.lit(f).alias("f")) for t, f in names])[F.col("field")]
     return (
-        rows.where(F.col("absent") | late)
-        .select("ref_table", "ref_field", "ref_id", F.when(F.col("absent"), "missing").otherwise("late").alias("kind"), "created_at")
+        rows.select("field", "ref_id", "absent", "created_at")
         .distinct()
+        .select(name["t"].alias("ref_table"), name["f"].alias("ref_field"), "ref_id", F.when(F.col("absent"), "missing").otherwise("late").alias("kind"), "created_at")
     )
 
 

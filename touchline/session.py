@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 import zipfile
@@ -48,11 +49,14 @@ def ship(spark: SparkSession) -> None:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that every executor can reach, as the cluster names it in spark.checkpoint.dir.
 
-    Only where the setting is absent (a single-machine session, as in tests) a temporary folder is chosen.
+    Only where the setting is absent and all work is done by this machine (a local master, as in tests) a temporary
+    folder is chosen. A cluster without the setting is refused: its executors would write to their own disks.
     """
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if sc._jsc.sc().getCheckpointDir().isEmpty():
+        if not named and not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("spark.checkpoint.dir isn't set: it must name a folder that all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="touchline-"))
     return named or sc._jsc.sc().getCheckpointDir().get()
 
