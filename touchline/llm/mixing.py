@@ -9,10 +9,14 @@ from pyspark.sql import functions as F
 from touchline.llm.tokens import encode_corpus
 from touchline.session import written
 
-STEPS = 40
-TOLERANCE = 1e-9
-#: Bins of one pass of the rounding threshold's search; two passes.
+#: Newton steps after which an unsolved dual is an error; a bracket makes each step at worst a bisection.
+STEPS = 80
+TOLERANCE = 1e-10
+#: Bins of one pass of the rounding threshold's search, and the most passes: 4096^5 exceeds the hash's 2^40 places.
 BINS = 4096
+PASSES = 5
+#: Most lines of targets, which come to the driver.
+MOST_LINES = 10_000
 
 
 def source_name(source: Column) -> Column:
@@ -27,115 +31,124 @@ def document_sizes(documents: DataFrame, **encoding) -> DataFrame:
     return written(encode_corpus(texts, carry=["source"], **encoding).select("doc_id", "source", F.size("ids").cast("long").alias("n_tokens")), "sizes")
 
 
-class _Duals:
-    """Dual variables (a, b) of each (mix, source): the rate of a document of x mean sizes is min(cap, exp(a + b x))."""
+class _Lines:
+    """The lines (mix, source) of a plan, with what is known of each so far."""
 
-    def __init__(self, spark, targets: list[dict]):
-        self.spark, self.targets = spark, targets
+    def __init__(self, spark, lines: list[dict]):
+        self.spark, self.lines = spark, lines
 
-    def frame(self, extra: tuple[str, ...] = ()) -> DataFrame:
-        names = ["mix_name", "source", "cap", "mean", "fixed", "a", "b", *extra]
-        rows = [tuple(t[n] for n in names) for t in self.targets]
-        kinds = {"mix_name": "string", "source": "string", "cap": "double", "mean": "double", "fixed": "double", "a": "double", "b": "double"}
-        return self.spark.createDataFrame(rows, ", ".join(f"{n} {kinds.get(n, 'double')}" for n in names))
+    def __iter__(self):
+        return iter(self.lines)
+
+    def frame(self, *names: str) -> DataFrame:
+        rows = [(t["mix_name"], t["source"], *(None if t[n] is None else float(t[n]) for n in names)) for t in self.lines]
+        return self.spark.createDataFrame(rows, ", ".join(["mix_name string", "source string", *(f"{n} double" for n in names)]))
 
 
 def _rate() -> Column:
-    tilted = F.exp(F.least(F.col("a") + F.col("b") * F.col("n_tokens") / F.col("mean"), F.lit(50.0)))
+    tilted = F.exp(F.least(F.col("tilt") * F.col("n_tokens") / F.col("mean"), F.lit(700.0)))
     return F.coalesce(F.col("fixed"), F.least(F.col("cap"), tilted))
 
 
-def _solve(duals: _Duals, histogram: DataFrame) -> None:
-    """Newton's method on the convex dual; an iteration sums gradient and Hessian over the histogram of sizes.
+def _solve(lines: _Lines, histogram: DataFrame) -> None:
+    """Newton's method on the convex dual of each line: the tilt with which the expected tokens equal the target.
 
-    Constraints of a (mix, source): the wanted tokens, and the wanted tokens over the mean size as documents, so that
-    the tilt doesn't prefer short documents. Steps are halved while they raise the distance from the constraints.
+    The dual's gradient, the tokens missing, falls steadily in the tilt, with or without rates at their cap, so it is
+    bracketed; a step that leaves the bracket, or meets a vanishing Hessian, is replaced by the bracket's middle. Steps
+    are taken on the logarithm of the tokens. A step of all lines sums gradient and Hessian over the histogram of sizes.
     """
-    live = [t for t in duals.targets if t["fixed"] is None]
-    before = {}
+    live = [t for t in lines if t["fixed"] is None]
+    for t in live:
+        t["low"], t["high"] = -float("inf"), float("inf")
+        t["tilt"] = float(np.log(t["tokens"] / (t["mean"] * t["docs"]))) * t["mean"] ** 2 / t["square"]
     for _ in range(STEPS):
         if not live:
             return
         x, r = F.col("n_tokens") / F.col("mean"), _rate()
-        free = F.when(r < F.col("cap"), r).otherwise(0.0) * F.col("n")
+        free = F.when(r < F.col("cap"), r).otherwise(0.0)
         sums = {
             (s["mix_name"], s["source"]): s
-            for s in histogram.join(F.broadcast(duals.frame()), "source")
+            for s in histogram.join(F.broadcast(_Lines(lines.spark, live).frame("cap", "mean", "fixed", "tilt")), "source")
             .groupBy("mix_name", "source")
-            .agg(F.sum(r * F.col("n")).alias("g0"), F.sum(r * x * F.col("n")).alias("g1"), F.sum(free).alias("h00"), F.sum(free * x).alias("h01"), F.sum(free * x * x).alias("h11"))
+            .agg(F.sum(r * x * F.col("n")).alias("g"), F.sum(free * x * x * F.col("n")).alias("h"))
             .collect()
         }
         still = []
         for t in live:
-            s, key = sums[t["mix_name"], t["source"]], (t["mix_name"], t["source"])
-            want = t["tokens"] / t["mean"]
-            gap = np.array([want - s["g0"], want - s["g1"]]) / want
-            off = float(np.abs(gap).max())
-            if off < TOLERANCE:
+            s, want = sums[t["mix_name"], t["source"]], t["tokens"] / t["mean"]
+            if abs(s["g"] - want) <= TOLERANCE * want:
                 continue
-            if key in before and off > before[key][0] * 1.0001 and before[key][3] > 1e-4:
-                _, a, b, scale, step = before[key]
-                before[key] = (before[key][0], a, b, scale / 2, step)
-                t["a"], t["b"] = a + float(step[0]) * scale / 2, b + float(step[1]) * scale / 2
-            else:
-                h = np.array([[s["h00"], s["h01"]], [s["h01"], s["h11"]]]) / want
-                h += np.eye(2) * (1e-9 + 1e-6 * np.trace(h))
-                step = np.linalg.solve(h, gap)
-                step *= min(1.0, 3.0 / max(float(np.abs(step).max()), 1e-12))
-                before[key] = (off, t["a"], t["b"], 1.0, step)
-                t["a"], t["b"] = t["a"] + float(step[0]), t["b"] + float(step[1])
+            t["low" if s["g"] < want else "high"] = t["tilt"]
+            step = np.log(want / s["g"]) * s["g"] / s["h"] if s["g"] > 0 and s["h"] > 0 else np.copysign(np.inf, want - s["g"])
+            new = t["tilt"] + float(np.clip(step, -4.0 - abs(t["tilt"]), 4.0 + abs(t["tilt"])))
+            if not t["low"] < new < t["high"]:
+                new = (t["low"] + t["high"]) / 2
+            if new in (t["low"], t["high"]):
+                continue  # the bracket has no number left inside: solved as far as numbers go
+            t["tilt"] = new
             still.append(t)
         live = still
+    if live:
+        raise ArithmeticError(f"dual of {live[0]['mix_name']}, {live[0]['source']} not solved within {STEPS} steps")
 
 
-def _draw(sizes: DataFrame, duals: _Duals) -> DataFrame:
+def _draw(sizes: DataFrame, lines: _Lines) -> DataFrame:
     """Documents with rate, whole copies and the position `v` that decides on one more: it is drawn if v < shift."""
     u = F.pmod(F.xxhash64(F.lit("mix"), "mix_name", "doc_id"), F.lit(1 << 40)) / float(1 << 40)
-    rows = sizes.where("n_tokens > 0").join(F.broadcast(duals.frame()), "source").withColumn("rate", _rate()).withColumn("whole", F.floor("rate"))
-    return rows.withColumn("v", F.when(F.col("whole") < F.col("cap"), u - (F.col("rate") - F.col("whole"))))
+    rows = sizes.where("n_tokens > 0").join(F.broadcast(lines.frame("cap", "mean", "fixed", "tilt")), "source").withColumn("rate", _rate()).withColumn("whole", F.floor("rate"))
+    return rows.withColumn("v", F.when(F.col("fixed").isNull() & (F.col("whole") < F.col("cap")), u - (F.col("rate") - F.col("whole"))))
 
 
-def _shifts(sizes: DataFrame, duals: _Duals) -> None:
-    """Per (mix, source), the shift of the rounding threshold with which the drawn tokens come nearest the target.
+def _shifts(sizes: DataFrame, lines: _Lines) -> None:
+    """Per line, the shift of the rounding threshold with which the drawn tokens come nearest the target.
 
-    Tokens by bins of v, twice: first of [-1, 1), then of the bin that holds the threshold.
+    Tokens by bins of v, first of [-1, 1), then of the bin in which they pass the target, until that bin holds a single
+    document (or copies of it): it is drawn if that comes nearer to the target.
     """
-    for t in duals.targets:
-        t["lo"], t["width"], t["base"] = -1.0, 2.0, 0.0
-    whole = _draw(sizes, duals).groupBy("mix_name", "source").agg(F.sum(F.col("whole") * F.col("n_tokens")).alias("n"))
+    for t in lines:
+        t["lo"], t["width"], t["base"], t["shift"] = -1.0, 2.0, 0.0, None
+    whole = _draw(sizes, lines).groupBy("mix_name", "source").agg(F.sum(F.col("whole") * F.col("n_tokens")).alias("n"))
     drawn = {(r["mix_name"], r["source"]): float(r["n"]) for r in whole.collect()}
-    for t in duals.targets:
+    for t in lines:
         t["base"] = drawn.get((t["mix_name"], t["source"]), 0.0)
-    for _ in range(2):
-        edges = duals.spark.createDataFrame(
-            [(t["mix_name"], t["source"], t["lo"], t["width"], float(t["tokens"] - t["base"])) for t in duals.targets],
-            "mix_name string, source string, lo double, width double, missing double",
-        )
+        if t["fixed"] is not None:
+            t["shift"] = -1.0
+    for _ in range(PASSES):
+        live = [t for t in lines if t["shift"] is None]
+        if not live:
+            return
+        for t in live:
+            t["missing"] = t["tokens"] - t["base"]
+        edges = _Lines(lines.spark, live).frame("lo", "width", "missing")
         at = F.floor((F.col("v") - F.col("lo")) / F.col("width") * BINS)
         w = Window.partitionBy("mix_name", "source").orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
-        found = (
-            _draw(sizes, duals)
+        passing = (
+            _draw(sizes, lines)
             .where("v is not null")
             .join(F.broadcast(edges), ["mix_name", "source"])
             .withColumn("bin", at)
             .where((F.col("bin") >= 0) & (F.col("bin") < BINS))
             .groupBy("mix_name", "source", "bin")
-            .agg(F.sum("n_tokens").alias("n"), F.first("missing").alias("missing"))
+            .agg(F.sum("n_tokens").alias("n"), F.countDistinct("v").alias("places"), F.first("missing").alias("missing"))
             .withColumn("upto", F.sum("n").over(w))
-            .where("upto <= missing")
+            .where("upto > missing")
             .groupBy("mix_name", "source")
-            .agg(F.max("bin").alias("bin"), F.max("upto").alias("upto"))
+            .agg(F.min_by(F.struct("bin", "n", "upto", "places"), "bin").alias("b"))
             .collect()
         )
-        got = {(r["mix_name"], r["source"]): r for r in found}
-        for t in duals.targets:
-            r = got.get((t["mix_name"], t["source"]))
+        found = {(r["mix_name"], r["source"]): r["b"] for r in passing}
+        for t in live:
+            b = found.get((t["mix_name"], t["source"]))
+            if b is None:  # all of them together don't pass the target
+                t["shift"] = t["lo"] + t["width"]
+                continue
             step = t["width"] / BINS
-            if r is not None:
-                t["lo"], t["base"] = t["lo"] + (r["bin"] + 1) * step, t["base"] + float(r["upto"])
-            t["width"] = step
-    for t in duals.targets:
-        t["shift"] = t["lo"]
+            before = b["upto"] - b["n"]
+            if b["places"] == 1:
+                t["shift"] = t["lo"] + (b["bin"] + (1 if b["upto"] - t["missing"] < t["missing"] - before else 0)) * step
+            t["lo"], t["width"], t["base"] = t["lo"] + b["bin"] * step, step, t["base"] + float(before)
+    for t in lines:
+        t["shift"] = t["lo"] if t["shift"] is None else t["shift"]
 
 
 def plan_mixes(documents: DataFrame, targets: DataFrame, **encoding) -> tuple[DataFrame, DataFrame]:
@@ -143,9 +156,10 @@ def plan_mixes(documents: DataFrame, targets: DataFrame, **encoding) -> tuple[Da
 
     The size of a mix is corpus_ratio times the tokens of all documents, and a source's target its share of the summed
     weights of the mix. The rates of a source's documents minimise the relative entropy to one copy each, subject to
-    the target; they are exponentially tilted in the document's size and limited to max_repeats. Rates are rounded
-    into copies by a hash of (mix, document) against a threshold that is set so that the drawn tokens meet the target
-    to within a document.
+    the target in tokens and to at most max_repeats: they are tilted exponentially in the document's size, so a source
+    that must shrink gives up long documents first, and one that must grow repeats them first. Rates are rounded into
+    copies by a hash of (mix, document) against a threshold that is set so that the drawn tokens come as near to the
+    target as one document lets them.
 
     First result: mix_name, source, doc_id, n_tokens, rate, copies (at least 1). Second: mix_name, source,
     target_share, actual_share, target_tokens, actual_tokens, n_documents (drawn), n_copies, max_repeats, exhausted.
@@ -155,23 +169,23 @@ def plan_mixes(documents: DataFrame, targets: DataFrame, **encoding) -> tuple[Da
     mix or source are left out, null weights and ratios count as 0, null max_repeats as 1; repeated lines of a mix and
     source add up their weights and take the larger max_repeats.
 
-    Only the lines of `targets` (a configuration, at most 10,000) and their sums come to the driver.
+    Only the lines of `targets` (a configuration; more than MOST_LINES is an error) and their sums come to the driver.
     """
     spark = documents.sparkSession
     sizes = document_sizes(documents, **encoding)
-    histogram = written(sizes.where("source is not null").groupBy("source", "n_tokens").agg(F.count(F.lit(1)).alias("n")), "histogram")
+    histogram = written(sizes.where("source is not null and n_tokens > 0").groupBy("source", "n_tokens").agg(F.count(F.lit(1)).alias("n")), "histogram")
     corpus = float(sizes.agg(F.sum("n_tokens")).first()[0] or 0)
-    have = {r["source"]: r for r in histogram.where("n_tokens > 0").groupBy("source").agg(F.sum("n").alias("docs"), F.sum(F.col("n") * F.col("n_tokens")).alias("tokens")).collect()}
+    have = {r["source"]: r for r in histogram.groupBy("source").agg(F.sum("n").alias("docs"), F.sum(F.col("n") * F.col("n_tokens")).alias("tokens"), F.sum(F.col("n") * F.col("n_tokens").cast("double") ** 2).alias("squares")).collect()}
     lines = (
         targets.select("mix_name", source_name(F.col("source")).alias("source"), "corpus_ratio", F.greatest(F.coalesce("target_weight", F.lit(0.0)), F.lit(0.0)).alias("w"), F.greatest(F.coalesce("max_repeats", F.lit(1)), F.lit(0)).alias("cap"))
         .where("mix_name is not null and source is not null")
         .groupBy("mix_name", "source")
         .agg(F.sum("w").alias("w"), F.max("cap").alias("cap"), F.max(F.coalesce("corpus_ratio", F.lit(0.0))).alias("ratio"))
-        .limit(10_001)
+        .limit(MOST_LINES + 1)
         .collect()
     )
-    if len(lines) > 10_000:
-        raise ValueError("more than 10,000 lines of targets")
+    if len(lines) > MOST_LINES:
+        raise ValueError(f"more than {MOST_LINES} lines of targets")
     weights: dict[str, float] = {}
     ratios: dict[str, float] = {}
     for r in lines:
@@ -185,20 +199,18 @@ def plan_mixes(documents: DataFrame, targets: DataFrame, **encoding) -> tuple[Da
         cap, mean = float(r["cap"]), there["tokens"] / there["docs"] if there else 1.0
         exhausted = tokens > 0 and (there is None or tokens >= cap * there["tokens"])
         fixed = cap if exhausted else 0.0 if tokens <= 0 else None
-        wanted.append({"mix_name": r["mix_name"], "source": r["source"], "share": share, "tokens": tokens, "cap": cap, "mean": float(mean), "fixed": fixed, "exhausted": exhausted, "a": 0.0, "b": 0.0})
-    duals = _Duals(spark, wanted)
-    _solve(duals, histogram)
-    _shifts(sizes, duals)
-    for t in wanted:
-        t["shift"] = 0.0 if t["fixed"] is not None else t["shift"]
-    shift = spark.createDataFrame([(t["mix_name"], t["source"], t["shift"]) for t in wanted], "mix_name string, source string, shift double")
-    one_more = F.coalesce((F.col("fixed").isNull() & (F.col("v") < F.col("shift"))).cast("int"), F.lit(0))
+        known = {"docs": float(there["docs"]), "square": there["squares"] / there["docs"]} if there else {"docs": 0.0, "square": 1.0}
+        wanted.append({"mix_name": r["mix_name"], "source": r["source"], "share": share, "tokens": tokens, "cap": cap, "mean": float(mean), "fixed": fixed, "exhausted": exhausted, "tilt": 0.0, **known})
+    plan = _Lines(spark, wanted)
+    _solve(plan, histogram)
+    _shifts(sizes, plan)
+    one_more = F.coalesce((F.col("v") < F.col("shift")).cast("int"), F.lit(0))
     mix = (
-        _draw(sizes, duals)
-        .join(F.broadcast(shift), ["mix_name", "source"])
+        _draw(sizes, plan)
+        .join(F.broadcast(plan.frame("shift")), ["mix_name", "source"])
         .withColumn("copies", (F.col("whole") + one_more).cast("int"))
         .where("copies > 0")
-        .select("mix_name", "source", "doc_id", "n_tokens", F.round("rate", 9).alias("rate"), "copies")
+        .select("mix_name", "source", "doc_id", "n_tokens", F.round("rate", 12).alias("rate"), "copies")
     )
     reached = mix.groupBy("mix_name", "source").agg(F.sum(F.col("n_tokens") * F.col("copies")).alias("actual_tokens"), F.count(F.lit(1)).alias("n_documents"), F.sum("copies").alias("n_copies"))
     asked = spark.createDataFrame(
