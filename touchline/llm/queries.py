@@ -33,6 +33,12 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return runs.collapse_runs(table(spark, d, "players_states")).withColumn("has_ball", F.col("has_ball").cast("int"))
 
 
+def p7_similar(spark: SparkSession, d: str) -> DataFrame:
+    """Runs of nearly the same speed, within 1 km/h of the run's mean when merged; zeros, the default of unprocessed rows, are no readings."""
+    rows = table(spark, d, "players_states").where("speed_kmh > 0 and speed_kmh < 1000")
+    return runs.collapse_runs(rows, value="speed_kmh", max_span=0, max_distance=1.0).withColumn("speed_kmh", F.round("speed_kmh", 9))
+
+
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokens.encode_corpus(table(spark, d, "documents"))
 
@@ -63,6 +69,6 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
-    f.__name__: f for f in (p2_nearest, p2_found, p3_percentiles, p7_found, p8_ids, p9_mix, p9_shares, p10_scores, p10_rates, p10_found)
+    f.__name__: f for f in (p2_nearest, p2_found, p3_percentiles, p7_found, p7_similar, p8_ids, p9_mix, p9_shares, p10_scores, p10_rates, p10_found)
 }
 ORACLES: dict[str, str] = {"p2_nearest": oracles.P2_NEAREST, "p2_found": oracles.P2_FOUND, "p7_found": oracles.P7_FOUND}

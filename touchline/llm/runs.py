@@ -10,11 +10,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from touchline.operators.ordered import SHARD, shard_of
+from touchline.operators.ordered import SHARD, shard_of, with_neighbours
 from touchline.session import ship, written
 
 #: Time units of one shard of an entity. Must exceed the gap limit.
 WIDTH = 4096
+RUNS = f"key long, {SHARD} long, no int, size int, first long, last long, n long, mean double"
 
 
 def agglomerate(times: Sequence[int], values: Sequence[float], max_gap: int, max_distance: float) -> list[tuple[int, int, int, float]]:
@@ -143,6 +144,23 @@ def smooth_flickers(events: DataFrame, max_span: int) -> DataFrame:
     )
 
 
+def _pieces(events: DataFrame, max_gap: int) -> DataFrame:
+    """Events with `_shard` replaced by the time at which their piece begins, the last event after a gap above `max_gap`.
+
+    Within (key, _shard) by a window; across shards only the last beginning of each shard takes part in a window over
+    the key.
+    """
+    cut = with_neighbours(events, ["key"], "t", ["v"]).withColumn("_begins", F.when(F.col("_prev").isNull() | (F.col("t") - F.col("_prev.t") > max_gap), F.col("t"))).select("key", SHARD, "t", "v", "_begins")
+    within = Window.partitionBy("key", SHARD).orderBy("t").rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.partitionBy("key").orderBy(SHARD).rowsBetween(Window.unboundedPreceding, -1)
+    carried = cut.groupBy("key", SHARD).agg(F.max("_begins").alias("_b")).select("key", SHARD, F.max("_b").over(before).alias("_carried"))
+    return (
+        cut.withColumn("_last", F.max("_begins").over(within))
+        .join(carried, ["key", SHARD])
+        .select("key", F.coalesce("_last", "_carried").alias(SHARD), "t", "v")
+    )
+
+
 def collapse_runs(
     df: DataFrame,
     key: str = "player_id",
@@ -158,9 +176,11 @@ def collapse_runs(
     both near neighbours take their value (`max_span`, 0 for none). Then neighbouring runs are merged by similarity
     within `max_gap` and `max_distance`, see `agglomerate`.
 
-    An entity is cut into shards of time, agglomerated on their own; the runs that meet at a border are then merged if
-    gap and distance allow, from left to right. The shards' runs are written to the shared folder between the two. With max_distance 0 that equals agglomeration of the whole sequence;
-    with a larger one, runs near a border may merge in another order.
+    An entity is cut where no merge can cross. With max_distance 0 runs only join equal ones, whatever the order, so
+    shards of time are agglomerated on their own and the runs that meet at a border are joined if gap and value allow.
+    With a larger distance the order of merges matters, and the cuts are the gaps above `max_gap`: pieces between them
+    are agglomerated on their own, each in one task. Both equal agglomeration of the whole sequence. Runs of shards are
+    written to the shared folder before they are joined.
 
     Rows with a null key, time or value are no events. An empty table gives no rows; other columns are ignored.
     """
@@ -178,9 +198,12 @@ def collapse_runs(
         events = smooth_flickers(events, max_span)
     else:
         events = events.repartition("key", SHARD)  # the window of the smoothing has done so already
+    if max_distance > 0:
+        whole = _pieces(events, max_gap).repartition("key", SHARD).sortWithinPartitions("key", SHARD, "t")
+        return _named(whole.mapInArrow(_collapser(max_gap, max_distance), RUNS), key, value)
     runs = written(
         events.sortWithinPartitions("key", SHARD, "t").mapInArrow(
-            _collapser(max_gap, max_distance), f"key long, {SHARD} long, no int, size int, first long, last long, n long, mean double"
+            _collapser(max_gap, max_distance), RUNS
         ),
         "runs",
     )
@@ -200,7 +223,11 @@ def collapse_runs(
         .agg(F.min("first").alias("first"), F.max("last").alias("last"), F.sum("n").alias("n"), (F.sum(F.col("mean") * F.col("n")) / F.sum("n")).alias("mean"))
         .drop("_chain")
     )
-    return inner.unionByName(chains).select(
+    return _named(inner.unionByName(chains), key, value)
+
+
+def _named(runs: DataFrame, key: str, value: str) -> DataFrame:
+    return runs.select(
         F.col("key").alias(key),
         F.col("mean").alias(value),
         F.col("first").cast("int").alias("frame_start"),
