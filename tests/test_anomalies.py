@@ -57,13 +57,27 @@ def test_second_readings_and_copies(spark):
 
 
 def test_blocks_of_a_hot_source_agree(spark):
-    rows = walk(1200)
-    for i in range(50, 1200, 150):
+    """Whole or in blocks of any length: the same verdicts, with bursts, ties of time, outages and long stuck runs."""
+    rng = np.random.default_rng(6)
+    rows = walk(1500) + walk(900, 5, 2, 5000)
+    for i in range(50, 1500, 130):
         rows[i][3] = 40.0
-    whole, split = found(spark, rows), found(spark, rows, hot_rows=300, block_rows=200)
-    planted = {(i + 1, "speed_kmh") for i in range(50, 1200, 150)}
-    assert planted <= set(whole) and planted <= set(split)
-    assert len(set(whole) ^ set(split)) <= 3
+    for i in range(20, 2400, 37):
+        rows[i][4] = round(float(np.exp(rng.normal(1.4, 0.6))), 3)
+    for i in range(7, 2400, 41):
+        rows[i][5] = round(rows[i][5] * float(np.exp(abs(rng.normal(0, 1.2)))), 3)
+    for i in range(590, 660):
+        rows[i][4] = 1.234
+    for i in range(800, 1000):
+        rows[i][2] = 3200 + (i - 800) // 10  # a burst with ties of time
+    for r in rows[1200:1500]:
+        r[2] += 5000
+    for i in rng.choice(2400, 60, replace=False):
+        rows[i][3 + int(rng.integers(3))] = [None, 0.0, -1.0, float("nan")][int(rng.integers(4))]
+    whole = found(spark, rows)
+    assert len(whole) > 150 and {"range", "spike", "stuck"} == set(whole.values())
+    for hot, block in ((300, 200), (100, 37)):
+        assert found(spark, rows, hot_rows=hot, block_rows=block) == whole
 
 
 def test_nulls_and_empty(spark):
