@@ -117,6 +117,27 @@ def test_gate(spark):
     assert [r.fired for r in series.gate(df, "m", "f", "s").orderBy("f").collect()] == [True, False, True, False, True, True, False]
 
 
+def test_gate_in_pieces_equals_one_pass(spark):
+    rng = np.random.default_rng(2)
+    frames = np.cumsum(rng.choice([1, 5, 40, 120, 249, 250, 400], 1500))
+    scales = np.round(1 + 0.03 * rng.standard_normal(1500).cumsum(), 3)
+    df = spark.createDataFrame([(1, int(f), float(s)) for f, s in zip(frames, scales, strict=True)], "m int, f int, s double")
+    last, before, want = None, 0.0, []
+    for f, s in zip(frames, scales, strict=True):
+        fire = last is None or (abs(s - before) / before if before else 0.0) > 0.05 or f - last >= 250
+        last, before = (f, s) if fire else (last, before)
+        want.append(bool(fire))
+    out = series.gate(df, "m", "f", "s", width=1000).orderBy("f").collect()
+    assert [r.fired for r in out] == want and 0 < sum(want) < 1500
+
+
+def test_states_are_picked_by_hash(spark, data):
+    from touchline.plans import reference
+
+    plan = reference._states(spark, data)._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate" in plan and "SortAggregate" not in plan
+
+
 def test_vectors(spark):
     df = spark.createDataFrame([(1, [1.0, 2.0, 3.0]), (2, [4.0, 4.0, 4.0])], "id int, v array<double>")
     rows = df.select("id", vectors.minmax(F.col("v")).alias("m")).orderBy("id").collect()

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from touchline.operators.ordered import SHARD, shard_of, with_neighbours
@@ -24,13 +24,14 @@ def _basis(u: Column, harmonics: int) -> list[Column]:
 
 
 def _solver(size: int, n_values: int, ridge: float):
-    """Solve the normal equations of many entities at once; entities without finite slots get null."""
+    """Solve the normal equations of many entities at once; null, and entities without finite slots, get null."""
     rows, cols = np.triu_indices(size)
     n_upper = len(rows)
 
     @F.pandas_udf("array<double>")
     def solve(sums: pd.Series) -> pd.Series:
-        flat = np.array([np.asarray(x, dtype=float) for x in sums]).reshape(len(sums), n_upper + n_values * size)
+        given = sums[sums.notna()]
+        flat = np.array([np.asarray(x, dtype=float) for x in given]).reshape(len(given), n_upper + n_values * size)
         a = np.zeros((len(flat), size, size))
         a[:, rows, cols] = flat[:, :n_upper]
         a[:, cols, rows] = flat[:, :n_upper]
@@ -47,7 +48,8 @@ def _solver(size: int, n_values: int, ridge: float):
         a[:, np.arange(size), np.arange(size)] += penalty
         beta = np.linalg.solve(a[:, None], b[..., None])[..., 0]
         beta = np.einsum("evi,eij->evj", beta, m).reshape(len(flat), -1)
-        return pd.Series([None if k < 0.5 else x for k, x in zip(flat[:, 0], beta.tolist(), strict=True)])
+        solved = pd.Series([None if k < 0.5 else x for k, x in zip(flat[:, 0], beta.tolist(), strict=True)], index=given.index, dtype=object)
+        return solved.reindex(sums.index).where(lambda x: x.notna(), None)
 
     return solve
 
@@ -103,10 +105,14 @@ def regular_grid(
     sums = [basis[i] * basis[j] for i in range(size) for j in range(i, size)]
     sums += [F.col(n) * b for n in v for b in basis]
     names = [f"_s{i}" for i in range(len(sums))]
-    rows = with_neighbours(
-        slots, ["_src"], "_slot", v, [F.sum(F.when(known, s).otherwise(0.0)).alias(n) for s, n in zip(sums, names, strict=True)]
-    )
-    rows = rows.withColumn("_beta", _solver(size, len(v), ridge)(F.array(*names))).drop(*names)
+
+    def solved(edges: DataFrame) -> DataFrame:
+        # the sums of a source are solved on the row of its first shard, and only the coefficients go to the others
+        first = F.row_number().over(Window.partitionBy("_src").orderBy(SHARD)) == 1
+        own = edges.withColumn("_sums", F.when(first, F.array(*names))).drop(*names).withColumn("_own", _solver(size, len(v), ridge)("_sums"))
+        return own.withColumn("_beta", F.first("_own", True).over(Window.partitionBy("_src"))).drop("_sums", "_own")
+
+    rows = with_neighbours(slots, ["_src"], "_slot", v, [F.sum(F.when(known, s).otherwise(0.0)).alias(n) for s, n in zip(sums, names, strict=True)], solved)
 
     def model(i: int, slot: Column) -> Column:
         terms = _basis(slot / slot_period, harmonics)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
@@ -9,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from touchline.functions import geometry as G
-from touchline.operators.ordered import SHARD, shard_of, with_neighbours
+from touchline.operators.ordered import SHARD, pieces, shard_of, with_neighbours
 from touchline.session import ship
 
 
@@ -48,15 +49,15 @@ def movement(states: DataFrame, frames_per_second: float = 25.0, width: int = 40
         "delta_x",
         "delta_y",
         F.sqrt(F.col("delta_x") * F.col("delta_x") + F.col("delta_y") * F.col("delta_y")).alias("displacement"),
-        k["speed_kmh"].alias("speed_kmh"),
+        *[k[c].alias(c) for c in ("vx", "vy", "acceleration", "speed_kmh")],
     )
 
 
 def moving_average(df: DataFrame, keys: Sequence[str], order: str, value: str, alpha: float = 0.2, width: int = 1024, name: str = "ema") -> DataFrame:
     """Exponential moving average with a start of 0, over rows of unique order within the key; null values are skipped.
 
-    A shard is an affine map of the average before it. Within a shard the average is a scaled running sum; the maps of
-    the shards before it are composed over an array of one entry per shard.
+    A block of a shard is an affine map of the average before it. Within a block the average is a scaled running sum; the
+    average before it is made of the blocks within the horizon beyond which a weight vanishes, a bounded number.
     """
     keys = list(keys)
     keep = 1 - alpha
@@ -69,32 +70,28 @@ def moving_average(df: DataFrame, keys: Sequence[str], order: str, value: str, a
     rows = rows.withColumn("_k", k)
     scaled = F.sum(alpha * F.col(value) * F.pow(F.lit(keep), -F.col("_k"))).over(block.rowsBetween(Window.unboundedPreceding, 0))
     rows = rows.withColumn("_own", scaled * F.pow(F.lit(keep), F.col("_k")))
-    maps = rows.groupBy(*keys, SHARD, "_block").agg(F.pow(F.lit(keep), F.max("_k")).alias("_a"), F.max_by("_own", "_k").alias("_b"))
-    chain = maps.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(SHARD, "_block", "_a", "_b"))).alias("_maps"))
-    # the fold keeps the average before each block
-    folded = F.aggregate(
-        "_maps",
-        F.struct(F.lit(0.0).alias("s"), F.expr(f"cast(array() as array<struct<{SHARD}:bigint,_block:int,_start:double>>)").alias("o")),
-        lambda acc, m: F.struct(
-            (m["_a"] * acc["s"] + m["_b"]).alias("s"),
-            F.concat(acc["o"], F.array(F.struct(m[SHARD].alias(SHARD), m["_block"].alias("_block"), acc["s"].alias("_start")))).alias("o"),
-        ),
-        lambda acc: acc["o"],
-    )
-    starts = chain.select(*keys, F.inline(folded))
+    maps = rows.groupBy(*keys, SHARD, "_block").agg(F.max("_k").alias("_n"), F.max_by("_own", "_k").alias("_b"))
+    across = Window.partitionBy(*keys).orderBy(SHARD, "_block")
+    maps = maps.withColumn("_upto", F.sum("_n").over(across))
+    # rows so far back that nothing of them is left in a double don't take part, which bounds the blocks that do
+    horizon = math.ceil(math.log(1e-30) / math.log(keep))
+    near = Window.partitionBy(*keys).orderBy("_upto").rangeBetween(-(horizon + 256), -1)
+    parts = F.collect_list(F.struct("_upto", "_b")).over(near)
+    start = F.aggregate("_parts", F.lit(0.0), lambda acc, m: acc + m["_b"] * F.pow(F.lit(keep), F.col("_upto") - F.col("_n") - m["_upto"]))
+    starts = maps.withColumn("_parts", parts).select(*keys, SHARD, "_block", start.alias("_start"))
     return rows.join(starts, [*keys, SHARD, "_block"]).withColumn(name, F.col("_own") + F.col("_start") * F.pow(F.lit(keep), F.col("_k"))).drop(SHARD, "_r", "_block", "_k", "_own", "_start")
 
 
 def _gate(frames: int, change: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, last_frame, last_scale = None, -1, 0.0
+        held, last_frame, last_scale = None, None, 0.0
         for b in batches:
             fired = []
-            for key, frame, scale in zip(*(b.column(c).to_pylist() for c in ("key", "frame", "scale")), strict=True):
-                if key != held:
-                    held, last_frame, last_scale = key, -1, 0.0
+            for key, piece, frame, scale in zip(*(b.column(c).to_pylist() for c in ("key", "_piece", "frame", "scale")), strict=True):
+                if (key, piece) != held:
+                    held, last_frame, last_scale = (key, piece), None, 0.0
                 jump = abs(scale - last_scale) / last_scale if last_scale != 0 else 0.0
-                fire = last_frame < 0 or jump > change or frame - last_frame >= frames
+                fire = last_frame is None or jump > change or frame - last_frame >= frames
                 if fire:
                     last_frame, last_scale = frame, scale
                 fired.append(fire)
@@ -103,17 +100,19 @@ def _gate(frames: int, change: float):
     return run
 
 
-def gate(df: DataFrame, key: str, order: str, scale: str, frames: int = 250, change: float = 0.05) -> DataFrame:
+def gate(df: DataFrame, key: str, order: str, scale: str, frames: int = 250, change: float = 0.05, width: int = 4096) -> DataFrame:
     """Which rows fire: the first, one whose scale has changed by more than `change`, or `frames` after the last firing.
 
-    A firing depends on the one before it, so the rows of a key are read one after the other; the state is two numbers
-    and rows are streamed, so a busy key costs time but no memory.
+    A firing depends on the one before it, so rows are read one after the other. But a row that comes `frames` or more
+    after its predecessor fires whatever came before: the rows of a key are cut there, and the pieces are read in
+    parallel. Within a piece the state is two numbers and rows are streamed.
     """
     ship(df.sparkSession)
     rows = df.select(F.col(key).cast("long").alias("key"), F.col(order).cast("long").alias("frame"), F.col(scale).cast("double").alias("scale")).dropna()
+    cut = pieces(rows.withColumn(SHARD, shard_of(F.col("frame"), width)), ["key"], "frame", ["scale"], frames)
     return (
-        rows.repartition("key")
-        .sortWithinPartitions("key", "frame")
+        cut.repartition("key", "_piece")
+        .sortWithinPartitions("key", "_piece", "frame")
         .mapInArrow(_gate(frames, change), "key long, frame long, scale double, fired boolean")
         .select(F.col("key").alias(key), F.col("frame").alias(order), F.col("scale").alias(scale), "fired")
     )

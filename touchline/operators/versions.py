@@ -27,17 +27,24 @@ def upsert(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFram
     return df.groupBy(*keys).agg(*last)
 
 
+#: Types that a hash aggregate can hold in its buffer; others make Spark sort the table before and after the shuffle.
+_IN_PLACE = {"boolean", "tinyint", "smallint", "int", "bigint", "float", "double", "date", "timestamp", "timestamp_ntz"}
+
+
 def insert_absent(existing: DataFrame, arriving: DataFrame, keys: Sequence[str], row_id: str = "id") -> DataFrame:
     """Existing rows and those arriving rows whose key isn't there; of arriving rows with equal keys, the smallest id."""
-    rest = [c for c in arriving.columns if c not in keys]
-    first = arriving.groupBy(*keys).agg(F.min_by(F.struct(*rest), row_id).alias("_first"))
-    fresh = first.select(*[F.col(c) if c in keys else F.col(f"_first.`{c}`").alias(c) for c in arriving.columns])
+    fresh = first_per_key(arriving, keys, row_id)
     return existing.unionByName(fresh.join(existing.select(*keys), list(keys), "left_anti"))
 
 
 def first_per_key(df: DataFrame, keys: Sequence[str], row_id: str = "id") -> DataFrame:
-    """The row with the smallest id of each key."""
+    """The row with the smallest id of each key; rows of one key and id are copies of each other.
+
+    Columns of fixed size are picked one by one, which a hash aggregate can do; of other types, whole rows.
+    """
     rest = [c for c in df.columns if c not in keys]
+    if all(t in _IN_PLACE for c, t in df.dtypes if c in rest):
+        return df.groupBy(*keys).agg(*[F.min(c).alias(c) if c == row_id else F.min_by(c, row_id).alias(c) for c in rest]).select(*df.columns)
     first = df.groupBy(*keys).agg(F.min_by(F.struct(*rest), row_id).alias("_first"))
     return first.select(*[F.col(c) if c in keys else F.col(f"_first.`{c}`").alias(c) for c in df.columns])
 
