@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from touchline.operators.ordered import SHARD, shard_of, with_neighbours
+from touchline.operators.ordered import SHARD, pieces, shard_of
 from touchline.session import ship, written
 
 #: Time units of one shard of an entity. Must exceed the gap limit.
@@ -144,23 +144,6 @@ def smooth_flickers(events: DataFrame, max_span: int) -> DataFrame:
     )
 
 
-def _pieces(events: DataFrame, max_gap: int) -> DataFrame:
-    """Events with `_shard` replaced by the time at which their piece begins, the last event after a gap above `max_gap`.
-
-    Within (key, _shard) by a window; across shards only the last beginning of each shard takes part in a window over
-    the key.
-    """
-    cut = with_neighbours(events, ["key"], "t", ["v"]).withColumn("_begins", F.when(F.col("_prev").isNull() | (F.col("t") - F.col("_prev.t") > max_gap), F.col("t"))).select("key", SHARD, "t", "v", "_begins")
-    within = Window.partitionBy("key", SHARD).orderBy("t").rowsBetween(Window.unboundedPreceding, 0)
-    before = Window.partitionBy("key").orderBy(SHARD).rowsBetween(Window.unboundedPreceding, -1)
-    carried = cut.groupBy("key", SHARD).agg(F.max("_begins").alias("_b")).select("key", SHARD, F.max("_b").over(before).alias("_carried"))
-    return (
-        cut.withColumn("_last", F.max("_begins").over(within))
-        .join(carried, ["key", SHARD])
-        .select("key", F.coalesce("_last", "_carried").alias(SHARD), "t", "v")
-    )
-
-
 def collapse_runs(
     df: DataFrame,
     key: str = "player_id",
@@ -199,7 +182,7 @@ def collapse_runs(
     else:
         events = events.repartition("key", SHARD)  # the window of the smoothing has done so already
     if max_distance > 0:
-        whole = _pieces(events, max_gap).repartition("key", SHARD).sortWithinPartitions("key", SHARD, "t")
+        whole = pieces(events, ["key"], "t", ["v"], max_gap + 1).withColumnRenamed("_piece", SHARD).repartition("key", SHARD).sortWithinPartitions("key", SHARD, "t")
         return _named(whole.mapInArrow(_collapser(max_gap, max_distance), RUNS), key, value)
     runs = written(
         events.sortWithinPartitions("key", SHARD, "t").mapInArrow(
