@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 from touchline.functions.text import box_text, text_or_none
 from touchline.operators.lookup import lookup_join
 
-COLUMNS = "frame_number, object_type, track_id, bbox, confidence, shirt_color, shirt_number, speed, distance, timestamp".split(", ")
+# The report's columns.
+COLUMNS = ["frame_number", "object_type", "track_id", "bbox", "confidence", "shirt_color", "shirt_number", "speed", "distance", "timestamp"]
 CSV_SCHEMA = (
     "frame_number int, object_type string, track_id int, bbox string, confidence double, shirt_color string, shirt_number string, "
     "speed double, distance double, timestamp int"
@@ -21,9 +22,9 @@ CSV_SCHEMA = (
 
 
 def detection_report(goals: DataFrame, balls: DataFrame, states: DataFrame, players: DataFrame) -> DataFrame:
-    """One row per detection of any kind, with the match it belongs to."""
+    """One row per detection of any kind, with the match it belongs to. Goals and balls have no shirt ("") and don't move (0)."""
     box = box_text(*[F.col(c) for c in ("x1", "y1", "x2", "y2")])
-    empty = {"shirt_color": F.lit(None).cast("string"), "shirt_number": F.lit(None).cast("string"), "speed": F.lit(None).cast("double"), "distance": F.lit(None).cast("double")}
+    empty = {"shirt_color": F.lit(""), "shirt_number": F.lit(""), "speed": F.lit(0.0), "distance": F.lit(0.0)}
 
     def rows(df: DataFrame, kind: str, **more) -> DataFrame:
         own = {"object_type": F.lit(kind), "track_id": F.lit(0), "bbox": box, **empty, **more}
@@ -59,8 +60,9 @@ def write_csv(report: DataFrame, path: str) -> None:
 
 
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
-    """A written report; the text "None" reads as null."""
-    return spark.read.schema(CSV_SCHEMA).csv(path, header=True, nullValue="None")
+    """A written report; the text "None" and empty text read as null."""
+    rows = spark.read.schema(CSV_SCHEMA).csv(path, header=True, nullValue="None")
+    return rows.select(*[F.nullif(c, F.lit("")).alias(c) if t == "string" else c for c, t in rows.dtypes])
 
 
 def timing_stats(samples: DataFrame, name: str, duration: str) -> DataFrame:

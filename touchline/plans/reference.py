@@ -242,7 +242,7 @@ def report_csv_roundtrip(s, d):
     path = f"{shared_dir(s)}/report-{uuid.uuid4().hex}"
     reports.write_csv(_report(s, d), path)
     back = reports.read_csv(s, path)
-    return back.groupBy("object_type").agg(F.count(F.lit(1)).alias("n"), F.count("shirt_number").alias("n_numbered"), F.max("frame_number").alias("last_frame"))
+    return back.groupBy("object_type").agg(F.count(F.lit(1)).alias("n"), F.count("shirt_number").alias("n_numbered"), F.max("frame_number").alias("last_frame"), F.countDistinct("bbox").alias("n_boxes"), F.round(F.sum("speed"), 2).alias("speeds"), F.round(F.sum("confidence"), 4).alias("confidences"))
 
 
 def step_timing_stats(s, d):
@@ -340,9 +340,9 @@ def storage_keys(s, d):
 
 
 def label_text(s, d):
-    players = _players(s, d).select(F.col("id").alias("player_id"), "track_id", C.hex_colour(C.parse_rgb(F.col("team_color"))).alias("hex"))
+    players = _players(s, d).select(F.col("id").alias("player_id"), "match_id", "track_id", C.hex_colour(C.parse_rgb(F.col("team_color"))).alias("hex"))
     placed = lookup_join(_states(s, d, ["id", "player_id", "frame_number", "confidence"]), players, ["player_id"])
-    return placed.select("id", X.label(F.col("track_id"), F.coalesce("hex", F.lit("none")), F.col("confidence")).alias("label"), X.image_name(F.col("player_id"), F.col("frame_number"), F.col("track_id")).alias("image_name"))
+    return placed.select("id", X.label(F.col("track_id"), F.coalesce("hex", F.lit("none")), F.col("confidence")).alias("label"), X.image_name(F.col("match_id"), F.col("frame_number"), F.col("track_id")).alias("image_name"))
 
 
 def enum_map(s, d):
@@ -380,10 +380,10 @@ def grouped_udaf_range(s, d):
 # -- streams --------------------------------------------------------------------------------------------------------------
 
 
-def stream_state_insert(s, d):
+def stream_state_insert(s, d, files=1000):
     """The states a stream inserts: of each player and frame, the one that came first."""
-    states = stream(s, d, "players_states").select("id", "player_id", "frame_number", "x1", "y1", "x2", "y2", "confidence", "timestamp")
-    return stateful.drain(stateful.first_states(states), "states")
+    states = stream(s, d, "players_states", files).select("id", "created_at", "player_id", "frame_number", "x1", "y1", "x2", "y2", "confidence", "timestamp")
+    return stateful.drain(stateful.first_states(states), "states").drop("created_at")
 
 
 def stream_state_dedupe(s, d):
@@ -391,26 +391,26 @@ def stream_state_dedupe(s, d):
     return stream_state_insert(s, d).select("player_id", "frame_number")
 
 
-def _depth_stream(s, d):
-    return stream(s, d, "depth_history").where("match_id is not null and frame_num is not null").select("id", "match_id", "frame_num", "depth", "camera_scale")
+def _depth_stream(s, d, files):
+    return stream(s, d, "depth_history", files).where("match_id is not null and frame_num is not null").select("id", "match_id", "frame_num", "depth", "camera_scale")
 
 
-def stream_ema(s, d):
+def stream_ema(s, d, files=1000):
     """The moving average of depth_ema, over a stream."""
-    rows = _depth_stream(s, d).withColumn("x", G.inverse_depth(F.col("depth"), F.lit(1.0)))
-    return stateful.drain(stateful.moving_average(rows, "match_id", "frame_num", "x", "id"), "ema").select("match_id", "frame_num", F.round("ema", 9).alias("ema"))
+    rows = _depth_stream(s, d, files).withColumn("x", G.inverse_depth(F.col("depth"), F.lit(1.0)))
+    return stateful.drain(stateful.moving_average(rows, "match_id", "frame_num", "x", "id"), "ema", "update", ["match_id", "frame_num"]).select("match_id", "frame_num", F.round("ema", 9).alias("ema"))
 
 
-def stream_gate(s, d):
+def stream_gate(s, d, files=1000):
     """The gate of depth_gate, over a stream."""
-    return stateful.drain(stateful.gate(_depth_stream(s, d), "match_id", "frame_num", "camera_scale", "id"), "gate")
+    return stateful.drain(stateful.gate(_depth_stream(s, d, files), "match_id", "frame_num", "camera_scale", "id"), "gate", "update", ["match_id", "frame_num"])
 
 
-def stream_windows(s, d):
+def stream_windows(s, d, files=1000):
     """Events per ten minutes and type, with a watermark."""
-    rows = stream(s, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
-    counts = stateful.windowed_counts(rows, "ts", ["event_type"])
-    return stateful.drain(counts, "windows", "update").groupBy("window", "event_type").agg(F.max("n").alias("n")).groupBy("event_type").agg(F.sum("n").alias("n_events"))
+    rows = stream(s, d, "events", files).withColumn("ts", F.col("ts").cast("timestamp"))
+    counts = stateful.windowed_counts(rows, "ts", ["event_type"]).select(F.col("window.start").alias("began"), "event_type", "n")
+    return stateful.drain(counts, "windows", "update", ["began", "event_type"]).select(F.date_format("began", "yyyy-MM-dd HH:mm").alias("began"), "event_type", "n")
 
 
 QUERIES = {

@@ -51,9 +51,9 @@ MERGES = f"""(SELECT match_id, member, root, score FROM (
 MERGED = f"(SELECT s.id, coalesce(m.root, s.player_id) AS player_id, s.frame_number FROM {ST} s LEFT JOIN {MERGES} m ON m.member = s.player_id)"
 BOX = "concat_ws(', ', " + ", ".join(f"coalesce(CAST({c} AS VARCHAR), 'None')" for c in ("x1", "y1", "x2", "y2")) + ")"
 REPORT = f"""(
-  SELECT match_id, frame_number, 'goal' AS object_type, 0 AS track_id, {BOX} AS bbox, confidence, CAST(NULL AS VARCHAR) AS shirt_color, CAST(NULL AS VARCHAR) AS shirt_number,
-    CAST(NULL AS DOUBLE) AS speed, CAST(NULL AS DOUBLE) AS distance, timestamp FROM {GO}
-  UNION ALL SELECT match_id, frame_number, 'ball', 0, {BOX}, confidence, NULL, NULL, NULL, NULL, timestamp FROM {BA}
+  SELECT match_id, frame_number, 'goal' AS object_type, 0 AS track_id, {BOX} AS bbox, confidence, '' AS shirt_color, '' AS shirt_number,
+    0e0 AS speed, 0e0 AS distance, timestamp FROM {GO}
+  UNION ALL SELECT match_id, frame_number, 'ball', 0, {BOX}, confidence, '', '', 0e0, 0e0, timestamp FROM {BA}
   UNION ALL SELECT p.match_id, s.frame_number, 'player', p.track_id, {BOX}, s.confidence, p.team_color, coalesce(CAST(p.shirt_number AS VARCHAR), 'None'),
     s.speed_kmh, s.distance_meters, s.timestamp FROM {ST} s JOIN {PL} p ON p.id = s.player_id)"""
 NUMBERED = f"(SELECT * FROM {REPORT} WHERE object_type = 'player' AND shirt_number <> 'None')"
@@ -104,7 +104,7 @@ ORACLES = {
     "recognition_frequency": f"SELECT shirt_number, count(*) AS frequency FROM {NUMBERED} GROUP BY 1",
     "average_confidence": f"SELECT shirt_number, round(avg(confidence), 6) AS avg_confidence FROM {NUMBERED} GROUP BY 1",
     "tracking_persistence": f"SELECT shirt_number, max(frame_number) - min(frame_number) AS persistence FROM {NUMBERED} GROUP BY 1",
-    "report_csv_roundtrip": f"SELECT object_type, count(*) AS n, count(nullif(shirt_number, 'None')) AS n_numbered, max(frame_number) AS last_frame FROM {REPORT} GROUP BY 1",
+    "report_csv_roundtrip": f"SELECT object_type, count(*) AS n, count(nullif(nullif(shirt_number, 'None'), '')) AS n_numbered, max(frame_number) AS last_frame, count(DISTINCT bbox) AS n_boxes, round(sum(speed), 2) AS speeds, round(sum(confidence), 4) AS confidences FROM {REPORT} GROUP BY 1",
     "step_timing_stats": TIMING,
     "timing_json_roundtrip": TIMING,
     "frame_batches": """SELECT match_id, frame_number, (row_number() OVER (PARTITION BY match_id ORDER BY frame_number) - 1) // 32 AS batch_id
@@ -143,7 +143,7 @@ ORACLES = {
     "storage_keys": """SELECT event_id, user_id || '/' || CASE event_type WHEN 'view' THEN 'players/' WHEN 'click' THEN 'heatmaps/' WHEN 'purchase' THEN 'reports/' ELSE '' END
         || event_type || '_' || event_id || '.png' AS key FROM events""",
     "label_text": f"""SELECT s.id, 'ID: ' || p.track_id || ' |' || CASE WHEN team_color IS NOT NULL THEN {HEX} ELSE 'none' END || '| Conf: ' || printf('%.2f', s.confidence) AS label,
-        s.player_id || '_' || s.frame_number || '_' || p.track_id AS image_name FROM {ST} s JOIN {RGB.format(PL)} p ON p.id = s.player_id""",
+        p.match_id || '_' || s.frame_number || '_' || p.track_id AS image_name FROM {ST} s JOIN {RGB.format(PL)} p ON p.id = s.player_id""",
     "enum_map": "SELECT name, name AS value, n FROM (SELECT unnest(['DPT_Large', 'DPT_Hybrid', 'MiDaS_small']) AS name, (SELECT count(*) FROM depth_history) AS n)",
     "crop_slice": """SELECT vec_id, CAST(4*(y - 1) + x AS INTEGER) AS pos, CAST(embedding[8*y + 2 + x + 1] AS DOUBLE) AS x FROM embeddings, (SELECT unnest(range(1, 4)) AS y), (SELECT unnest(range(0, 4)) AS x)""",
     "detector_udtf": """SELECT match_id, n AS frame_num, CAST(n % 3 AS INTEGER) AS class_id, CAST(CASE WHEN n % 3 < 2 THEN n % 22 + 1 ELSE 0 END AS INTEGER) AS track_id, CAST(n*7 % 1800 AS INTEGER) AS x1, CAST(n*5 % 900 AS INTEGER) AS y1,
@@ -152,7 +152,7 @@ ORACLES = {
         WHERE n % 100 >= CASE WHEN n % 3 < 2 THEN 15 ELSE 10 END""",
     "grouped_udaf_range": "SELECT player_id, max(frame_number) - min(frame_number) AS frame_range FROM players_states GROUP BY 1",
     "stream_state_dedupe": "SELECT DISTINCT player_id, frame_number FROM players_states",
-    "stream_windows": "SELECT event_type, count(*) AS n_events FROM events GROUP BY 1",
+    "stream_windows": "SELECT strftime(time_bucket(INTERVAL 10 MINUTE, CAST(ts AS TIMESTAMP)), '%Y-%m-%d %H:%M') AS began, event_type, count(*) AS n FROM events GROUP BY 1, 2",
 }
 ORACLES["stream_ema"] = f"SELECT match_id, frame_num, ema FROM ({ORACLES['depth_ema']})"
 ORACLES["stream_gate"] = ORACLES["depth_gate"]

@@ -42,8 +42,8 @@ def is_directory(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(p).isDirectory()
 
 
-def stream(spark: SparkSession, d: str, name: str) -> DataFrame:
-    """A table as a file stream."""
+def stream(spark: SparkSession, d: str, name: str, files_per_batch: int = 1000) -> DataFrame:
+    """A table as a file stream of at most `files_per_batch` files in a micro-batch."""
     path = f"{d}/{name}.parquet"
-    reader = spark.readStream.schema(table(spark, d, name).schema)
+    reader = spark.readStream.schema(table(spark, d, name).schema).option("maxFilesPerTrigger", files_per_batch)
     return reader.parquet(path) if is_directory(spark, path) else reader.option("pathGlobFilter", f"{name}.parquet").parquet(d)
