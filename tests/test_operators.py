@@ -138,6 +138,17 @@ def test_states_are_picked_by_hash(spark, data):
     assert "HashAggregate" in plan and "SortAggregate" not in plan
 
 
+def test_annotator_sizes_and_mean_colours(spark):
+    from touchline.functions import colour
+
+    colour.check_annotator("#00ff00", 100, 0.5)
+    for bad in (("00ff000",), ("#00ff0",), ("#00ff00", 0), ("#00ff00", 1, 100.5)):
+        with pytest.raises(ValueError):
+            colour.check_annotator(*bad)
+    df = spark.createDataFrame([(1, "10, 20,30"), (1, "11,21,32"), (1, None), (2, "x")], "k int, c string")
+    assert {r.k: r.m for r in df.groupBy("k").agg(colour.mean_rgb(F.col("c")).alias("m")).collect()} == {1: "10,20,31", 2: None}
+
+
 def test_vectors(spark):
     df = spark.createDataFrame([(1, [1.0, 2.0, 3.0]), (2, [4.0, 4.0, 4.0])], "id int, v array<double>")
     rows = df.select("id", vectors.minmax(F.col("v")).alias("m")).orderBy("id").collect()

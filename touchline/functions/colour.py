@@ -47,5 +47,21 @@ def rgb_text(rgb: Column) -> Column:
     return F.concat_ws(",", *[F.get(rgb, F.lit(i)).cast("string") for i in range(3)])
 
 
+def check_annotator(hex_colour: str, thickness: float = 1, text_scale: float = 0.5) -> None:
+    """Raise ValueError unless the colour is # and six signs, and both sizes lie in (0, 100]."""
+    if not hex_colour.startswith("#") or len(hex_colour) != 7:
+        raise ValueError(f"{hex_colour!r} isn't a colour of # and six signs")
+    for name, size in (("thickness", thickness), ("text_scale", text_scale)):
+        if not 0 < size <= 100:
+            raise ValueError(f"{name} must be above 0 and at most 100")
+
+
+def mean_rgb(text: Column) -> Column:
+    """Aggregate: the mean of "r,g,b" colours by channel, cut to whole numbers, as "r,g,b"; null without a colour."""
+    rgb = parse_rgb(text)
+    channels = [F.avg(F.get(rgb, F.lit(i))).cast("int") for i in range(3)]
+    return F.when(channels[0].isNotNull(), F.concat_ws(",", *[c.cast("string") for c in channels]))
+
+
 def is_hex_colour(text: Column) -> Column:
     return text.rlike("^#.{6}$")

@@ -27,6 +27,15 @@ def crop(v: Column, width: int, x1: int, y1: int, x2: int, y2: int) -> Column:
     return F.flatten(F.transform(F.sequence(F.lit(y1), F.lit(y2 - 1)), lambda y: F.slice(v, y * width + (x1 + 1), x2 - x1)))
 
 
+def sample(v: Column, width: int, height: int, x: Column, y: Column) -> Column:
+    """The value of a row-major image at a grid point, points outside moved to the border.
+
+    A spline through the samples returns the sample at a grid point, so it isn't formed.
+    """
+    at = F.least(F.greatest(y, F.lit(0)), F.lit(height - 1)) * width + F.least(F.greatest(x, F.lit(0)), F.lit(width - 1))
+    return F.get(v, at.cast("int"))
+
+
 def torso(box: tuple[float, float, float, float], height: int, width: int) -> tuple[int, int, int, int]:
     """Bounds of the torso: from 15 to 50 % of the frame's height below the box's top, a quarter of its width in from either side.
 

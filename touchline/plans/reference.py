@@ -13,7 +13,9 @@ from touchline.functions import text as X
 from touchline.operators import bands, detection, reid, reports, series, vectors, versions
 from touchline.operators.lookup import lookup_join
 from touchline.session import shared_dir, written
+from touchline.sources import sinks
 from touchline.sources.files import goal_frames, stream
+from touchline.sources.frames import metadata
 from touchline.sources.tables import table
 from touchline.streaming import stateful
 
@@ -134,6 +136,54 @@ def numbers_cascade_delete(s, d):
     return versions.only_existing(rows, table(s, d, "players").select("id"), "player_id")
 
 
+def _steps(s, d):
+    """Line items as steps of the orders' tasks; the date stands for the time of the change."""
+    return table(s, d, "lineitem").select(F.col("l_orderkey").alias("task_id"), F.col("l_linenumber").alias("step_number"), F.col("l_linestatus").alias("state"), F.col("l_returnflag").alias("message"), F.col("l_shipdate").alias("changed_at"))
+
+
+def task_latest_state(s, d):
+    """Each task with its step that changed last."""
+    tasks = table(s, d, "orders").select(F.col("o_orderkey").alias("task_id"), F.col("o_custkey").alias("user_id"))
+    last = _steps(s, d).groupBy("task_id").agg(F.max(F.struct("changed_at", "step_number", "state")).alias("m"))
+    return tasks.join(last, "task_id", "left").select("task_id", "user_id", F.col("m.step_number").alias("step_number"), F.col("m.state").alias("state"))
+
+
+def task_step_upsert(s, d):
+    """Steps after a second pass has set the state and message of every third step anew, and added one step to each task."""
+    steps = _steps(s, d)
+    again = steps.where("step_number % 3 = 0").select("task_id", "step_number", F.lit("done").alias("state"), F.lit(None).cast("string").alias("message"), (F.col("changed_at") + F.expr("interval 1 day")).alias("changed_at"))
+    added = table(s, d, "orders").select(F.col("o_orderkey").alias("task_id"), F.lit(100).alias("step_number"), F.lit("pending").alias("state"), F.lit("").alias("message"), F.col("o_orderdate").alias("changed_at"))
+    return versions.upsert(steps.unionByName(again).unionByName(added), ["task_id", "step_number"], ["changed_at", "state", "message"]).select("task_id", "step_number", "state", "message")
+
+
+def task_cascade_delete(s, d):
+    """Steps that stay when the finished tasks go."""
+    kept = table(s, d, "orders").where("o_orderstatus <> 'F'").select("o_orderkey")
+    return versions.only_existing(_steps(s, d), kept, "task_id").select("task_id", "step_number", "state")
+
+
+def _appended(rows: DataFrame, name: str) -> DataFrame:
+    """Rows appended in two batches, of which the second is written twice, as by a retry."""
+    s = rows.sparkSession
+    path = f"{shared_dir(s)}/{s.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    half = F.col("frame_number") % 2 == 0
+    for batch, part in (("1", rows.where(half)), ("2", rows.where(~half)), ("2", rows.where(~half))):
+        sinks.append(part, path, batch)
+    return sinks.appended(s, path, rows.schema)
+
+
+def ball_append(s, d):
+    return _appended(_balls(s, d).where("frame_number is not null"), "balls")
+
+
+def goal_append(s, d):
+    return _appended(goal_frames(s, d), "goals")
+
+
+def state_append(s, d):
+    return _appended(_states(s, d).where("frame_number is not null"), "states")
+
+
 # -- re-identification ----------------------------------------------------------------------------------------------------
 
 
@@ -162,6 +212,12 @@ def track_summaries(s, d):
     return _summaries(s, d).select("match_id", "player_id", "frame_start", "frame_end", "detection_count", "avg_color", "first_cx", "first_cy", "last_cx", "last_cy")
 
 
+def mean_colors(s, d):
+    """Per player, the mean colour of its stretches and the tracker of the first one; copies count once."""
+    rows = table(s, d, "track_summaries").where("player_id is not null and frame_start is not null").select("player_id", "tracker_id", "frame_start", "avg_color").distinct()
+    return rows.groupBy("player_id").agg(F.min(F.struct("frame_start", "tracker_id")).alias("_f"), C.mean_rgb(F.col("avg_color")).alias("mean_color")).select("player_id", F.col("_f.tracker_id").alias("first_tracker"), "mean_color")
+
+
 def color_distance(s, d):
     """Perceptual distance of each player's colour to black and to white."""
     rgb = C.parse_rgb(F.col("team_color"))
@@ -209,6 +265,16 @@ def near_frame_band(s, d):
     return bands.count_within(table(s, d, "depth_history").where("match_id is not null"), points, ["match_id"], "frame_num", "frame_number", 20)
 
 
+def near_frame_rows(s, d):
+    """Centres of track pieces within 20 frames of a depth measurement of their match, up to the match's last frame."""
+    every = _players(s, d).select(F.col("id").alias("player_id"), "match_id", "track_id")
+    placed = lookup_join(reid.centroids(_states(s, d)).select("player_id", "frame_number", "cx", "cy"), every, ["player_id"])
+    last = placed.groupBy("match_id").agg(F.max("frame_number").alias("last_frame"))
+    asked = table(s, d, "depth_history").select("match_id", "frame_num").dropna().distinct().join(last, "match_id")
+    pieces = placed.where(F.col("track_id") > reid.ESTABLISHED).drop("track_id")
+    return bands.rows_within(asked, pieces, ["match_id"], "frame_num", "frame_number", 20, 1, "last_frame").drop("last_frame")
+
+
 # -- reports --------------------------------------------------------------------------------------------------------------
 
 
@@ -276,6 +342,17 @@ def frame_speed(s, d):
     return series.movement(_positions(s, d)).select("player_id", "frame_number", F.round("speed_kmh", 5).alias("speed_kmh"))
 
 
+def frame_kinematics(s, d):
+    """Velocity and acceleration with which each player reached its position."""
+    return series.movement(_positions(s, d)).select("player_id", "frame_number", *[F.round(c, 5).alias(c) for c in ("vx", "vy", "acceleration")])
+
+
+def video_metadata(s, d):
+    """Frames, rate and length of each match's video, as far as balls were seen; frames have no picture here."""
+    frames = table(s, d, "ball_states").where("match_id is not null and frame_number is not null").select("match_id", F.col("frame_number").alias("frame_num"), ((F.col("frame_number") - 1) / 25).alias("timestamp"), F.lit(1920).alias("width"), F.lit(1080).alias("height"))
+    return metadata(frames).withColumn("seconds", F.round("seconds", 6))
+
+
 def _depths(s, d):
     rows = table(s, d, "depth_history").select("id", "match_id", "frame_num", "depth", "camera_scale").where("match_id is not null and frame_num is not null")
     return versions.first_per_key(rows, ["match_id", "frame_num"])
@@ -358,6 +435,12 @@ def crop_slice(s, d):
     return table(s, d, "embeddings").select("vec_id", F.posexplode(v).alias("pos", "x"))
 
 
+def grid_sample(s, d):
+    """Embeddings as images of 8 by 8, sampled at a grid point that may lie outside."""
+    x, y = F.col("vec_id") % 11 - 1, F.col("vec_id") % 13 - 2
+    return table(s, d, "embeddings").select("vec_id", vectors.sample(F.col("embedding").cast("array<double>"), 8, 8, x, y).alias("x"))
+
+
 def jersey_color_kmeans(s, d):
     """Jersey colours of crops of 4 by 4 pixels made from embeddings."""
     e = F.col("embedding").cast("array<double>")
@@ -421,7 +504,8 @@ QUERIES = {
         track_partition_ghosts, track_summaries, color_distance, reid_candidates, reid_merged_states, reid_merged_numbers, reid_surviving_players, reid_summary,
         reid_frame_conflicts, near_frame_band, detection_report, report_boxes, recognition_frequency, average_confidence, tracking_persistence,
         report_csv_roundtrip, step_timing_stats, timing_json_roundtrip, frame_batches, frame_displacement, frame_speed, depth_ema, depth_gate,
-        depth_constant, bbox_clamp, hip_point, vector_minmax, vector_standardize, cluster_pick, hex_color, storage_keys, label_text, enum_map,
+        task_latest_state, task_step_upsert, task_cascade_delete, ball_append, goal_append, state_append, mean_colors, near_frame_rows, frame_kinematics,
+        video_metadata, grid_sample, depth_constant, bbox_clamp, hip_point, vector_minmax, vector_standardize, cluster_pick, hex_color, storage_keys, label_text, enum_map,
         crop_slice, jersey_color_kmeans, detector_udtf, grouped_udaf_range, stream_state_insert, stream_state_dedupe, stream_ema, stream_gate, stream_windows,
     )
 }

@@ -156,3 +156,31 @@ ORACLES = {
 }
 ORACLES["stream_ema"] = f"SELECT match_id, frame_num, ema FROM ({ORACLES['depth_ema']})"
 ORACLES["stream_gate"] = ORACLES["depth_gate"]
+STEPS = "(SELECT l_orderkey AS task_id, l_linenumber AS step_number, l_linestatus AS state, l_returnflag AS message, l_shipdate AS changed_at FROM lineitem)"
+ORACLES |= {
+    "task_latest_state": f"""SELECT o_orderkey AS task_id, o_custkey AS user_id, step_number, state FROM orders LEFT JOIN (
+        SELECT DISTINCT ON (task_id) * FROM {STEPS} ORDER BY task_id, changed_at DESC, step_number DESC, state DESC) ON task_id = o_orderkey""",
+    "task_step_upsert": f"""WITH log AS (
+          SELECT * FROM {STEPS} UNION ALL SELECT task_id, step_number, 'done', NULL, changed_at + INTERVAL 1 DAY FROM {STEPS} WHERE step_number % 3 = 0
+          UNION ALL SELECT o_orderkey, 100, 'pending', '', o_orderdate FROM orders)
+        SELECT task_id, step_number, last(state ORDER BY changed_at, state, message NULLS FIRST) AS state,
+          last(message ORDER BY changed_at, state, message) FILTER (WHERE message IS NOT NULL) AS message FROM log GROUP BY 1, 2""",
+    "task_cascade_delete": f"SELECT task_id, step_number, state FROM {STEPS} WHERE EXISTS (FROM orders WHERE o_orderkey = task_id AND o_orderstatus <> 'F')",
+    "ball_append": f"SELECT * FROM {BA} WHERE frame_number IS NOT NULL",
+    "goal_append": f"SELECT * FROM {GO}",
+    "state_append": f"SELECT id, player_id, frame_number, x1, y1, x2, y2, confidence, timestamp FROM {ST} WHERE frame_number IS NOT NULL",
+    "mean_colors": f"""WITH t AS (SELECT DISTINCT player_id, tracker_id, frame_start, avg_color AS team_color FROM track_summaries WHERE player_id IS NOT NULL AND frame_start IS NOT NULL),
+        m AS (SELECT player_id, trunc(avg(r)) AS r, trunc(avg(g)) AS g, trunc(avg(b)) AS b FROM {RGB.format("t")} GROUP BY 1),
+        f AS (SELECT DISTINCT ON (player_id) player_id, tracker_id FROM t ORDER BY player_id, frame_start, tracker_id)
+        SELECT player_id, tracker_id AS first_tracker, CASE WHEN r IS NOT NULL THEN printf('%d,%d,%d', CAST(r AS INTEGER), CAST(g AS INTEGER), CAST(b AS INTEGER)) END AS mean_color FROM f JOIN m USING (player_id)""",
+    "near_frame_rows": f"""WITH s AS (
+          SELECT p.match_id, p.track_id, s.player_id, s.frame_number, (x1 + x2)/2 AS cx, (y1 + y2)/2 AS cy FROM {ST} s JOIN {PL} p ON p.id = s.player_id
+          WHERE x1 IS NOT NULL AND y1 IS NOT NULL AND x2 IS NOT NULL AND y2 IS NOT NULL
+        ), l AS (SELECT match_id, max(frame_number) AS last_frame FROM s GROUP BY 1)
+        SELECT d.match_id, d.frame_num, s.player_id, s.frame_number, cx, cy FROM (SELECT DISTINCT match_id, frame_num FROM depth_history) d JOIN l USING (match_id)
+        JOIN s ON s.match_id = d.match_id AND s.track_id > 22 AND s.frame_number BETWEEN greatest(d.frame_num - 20, 1) AND least(d.frame_num + 20, last_frame)""",
+    "frame_kinematics": f"SELECT player_id, frame_number, round(ex / ((frame_number - pf)/25e0), 5) AS vx, round(ey / ((frame_number - pf)/25e0), 5) AS vy, CASE WHEN ex + ey IS NOT NULL THEN 0e0 END AS acceleration FROM {LAGGED}",
+    "video_metadata": """SELECT match_id, max(frame_number) AS frame_count, CASE WHEN max(frame_number) > 1 THEN 25e0 ELSE 0e0 END AS fps, round((max(frame_number) - 1)/25e0, 6) AS seconds, 1920 AS width, 1080 AS height
+        FROM ball_states WHERE match_id IS NOT NULL AND frame_number IS NOT NULL GROUP BY 1""",
+    "grid_sample": "SELECT vec_id, CAST(embedding[1 + 8*least(greatest(vec_id % 13 - 2, 0), 7) + least(greatest(vec_id % 11 - 1, 0), 7)] AS DOUBLE) AS x FROM embeddings",
+}

@@ -19,6 +19,8 @@ TABLES = {
     "ball_states": f"{_ID}, match_id int, {_BOX}, {_FRAME}, {_MOVEMENT}",
     "goals": f"{_ID}, match_id int, {_BOX}, {_FRAME}",
     "depth_history": f"{_ID}, match_id int, frame_num int, timestamp int, depth double, pixels_to_meters double, camera_scale double, constant double",
+    "tasks": "id string, created_at timestamp, updated_at timestamp, completed_at timestamp, match_id int, video_name string, general_state string, user_id int",
+    "task_steps": f"{_ID}, completed_at timestamp, step_number int, name string, message string, state string, task_id string",
     "track_summaries": (
         "player_id bigint, tracker_id int, frame_start int, frame_end int, detection_count int, avg_color string, "
         "first_cx double, first_cy double, last_cx double, last_cy double"

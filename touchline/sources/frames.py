@@ -5,6 +5,8 @@ from __future__ import annotations
 import importlib
 from collections.abc import Iterator
 
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 SCHEMA = "match_id int, frame_num int, timestamp double, height int, width int, frame binary"
@@ -52,6 +54,18 @@ class FrameSource(DataSource):
         return _Reader(self.options)
 
 
+def metadata(frames: DataFrame) -> DataFrame:
+    """match_id, frame_count, fps, seconds, width and height of each video, from its frames (their pictures aren't read)."""
+    last = F.max("frame_num")
+    return frames.groupBy("match_id").agg(
+        last.alias("frame_count"),
+        F.coalesce(F.round(F.try_divide(last - 1, F.max("timestamp")), 6), F.lit(0.0)).alias("fps"),
+        F.max("timestamp").alias("seconds"),
+        F.max("width").alias("width"),
+        F.max("height").alias("height"),
+    )
+
+
 def blank(n: int, height: int, width: int) -> bytes:
     """A grey frame whose level is the frame's number."""
     return bytes([n % 256]) * (height * width * 3)
