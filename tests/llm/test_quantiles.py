@@ -26,3 +26,25 @@ def test_speed_percentiles(spark):
     assert (one.n, one.n_null, one.n_unsound, one.rank_error) == (60, 1, 4, 0.0) and one.p50 == 30.0
     assert out["player", 2].p50 is None and out["match", 9].n == 60 and out["match", None].p50 == 7.0
     assert speed_percentiles(states.limit(0), players).count() == 0
+
+
+def test_ranks_of_the_given_table(spark, data):
+    """Every percentile of every player and match against exact ranks."""
+    from touchline.sources.tables import table
+
+    states, players = table(spark, data, "players_states"), table(spark, data, "players")
+    rows = states.where("player_id is not null and speed_kmh > 0 and speed_kmh <= 60").select("player_id", "frame_number", "speed_kmh").distinct()
+    matches = {r.id: r.match_id for r in players.select("id", "match_id").distinct().collect()}
+    values: dict = {}
+    for r in rows.collect():
+        values.setdefault(("player", r.player_id), []).append(r.speed_kmh)
+        values.setdefault(("match", matches.get(r.player_id)), []).append(r.speed_kmh)
+    compacted = 0
+    for r in speed_percentiles(states, players).collect():
+        x = np.sort(values.get((r.level, r.group_id), []))
+        assert r.n == len(x)
+        compacted += r.rank_error > 0
+        for p in (1, 5, 25, 50, 75, 95, 99) if len(x) else ():
+            low, high = np.searchsorted(x, r[f"p{p}"], "left") / len(x), np.searchsorted(x, r[f"p{p}"], "right") / len(x)
+            assert low - 2 * r.rank_error - 1 / len(x) <= p / 100 <= high + 2 * r.rank_error + 1 / len(x)
+    assert compacted > 0

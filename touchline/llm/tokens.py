@@ -205,8 +205,6 @@ def _join_parts(path: str, carry: list[str]):
     def run(t: pa.Table) -> pa.Table:
         by_piece = Piecewise(path)
         rows = sorted(t.to_pylist(), key=lambda r: r["no"])
-        copies = sum(r["no"] == 0 for r in rows)
-        rows = rows[::copies]
         ids: list[int] = []
         i = 0
         while i < len(rows):
@@ -224,8 +222,8 @@ def _join_parts(path: str, carry: list[str]):
             else:
                 ids += rows[i]["ids"]
             i = j
-        more = {c: pa.array([rows[0][c]] * copies, pa.string()) for c in carry}
-        return pa.table({"key": pa.array([rows[0]["key"]] * copies, pa.int64()), **more, "ids": _list_array([ids] * copies)})
+        more = {c: pa.array([rows[0][c]], pa.string()) for c in carry}
+        return pa.table({"key": pa.array([rows[0]["key"]], pa.int64()), **more, "ids": _list_array([ids])})
 
     return run
 
@@ -251,19 +249,23 @@ def encode_corpus(
     ship(documents.sparkSession)
     path, carry = f"{folder}/{vocabulary}", list(carry)
     kept = [f"c{i}" for i in range(len(carry))]
+    carried = [*kept, "_copies"]
     more = "".join(f", {c} string" for c in kept)
     rows = documents.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"), *[F.col(c).alias(k) for c, k in zip(carry, kept, strict=True)])
     size = F.coalesce(F.char_length("text"), F.lit(0))
     short = rows.where(size <= long).mapInArrow(_encode_short(path, kept), f"key long{more}, ids array<int>")
     parts = (
         rows.where(size > long)
+        .groupBy("key", "text", *kept)  # copies are counted before the shuffle, and encoded once
+        .agg(F.count(F.lit(1)).cast("string").alias("_copies"))
         .withColumn("digest", F.xxhash64("text"))
-        .mapInArrow(_cut(part, kept), f"key long, digest long, no int, glued boolean, detail boolean, text string{more}")
+        .mapInArrow(_cut(part, carried), f"key long, digest long, no int, glued boolean, detail boolean, text string{more}, _copies string")
         .repartition("key", "digest", "no")
         .mapInArrow(
-            _encode_parts(path, kept),
-            f"key long, digest long, no int, glued boolean, detail boolean{more}, text string, lens array<int>, counts array<int>, ids array<int>",
+            _encode_parts(path, carried),
+            f"key long, digest long, no int, glued boolean, detail boolean{more}, _copies string, text string, lens array<int>, counts array<int>, ids array<int>",
         )
     )
-    joined = parts.groupBy("key", "digest", *kept).applyInArrow(_join_parts(path, kept), f"key long{more}, ids array<int>")
+    joined = parts.groupBy("key", "digest", *carried).applyInArrow(_join_parts(path, carried), f"key long{more}, _copies string, ids array<int>")
+    joined = joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).drop("_copy", "_copies")
     return short.unionByName(joined).select(F.col("key").alias(key), *[F.col(k).alias(c) for c, k in zip(carry, kept, strict=True)], "ids")
