@@ -183,4 +183,8 @@ ORACLES |= {
     "video_metadata": """SELECT match_id, max(frame_number) AS frame_count, CASE WHEN max(frame_number) > 1 THEN 25e0 ELSE 0e0 END AS fps, round((max(frame_number) - 1)/25e0, 6) AS seconds, 1920 AS width, 1080 AS height
         FROM ball_states WHERE match_id IS NOT NULL AND frame_number IS NOT NULL GROUP BY 1""",
     "grid_sample": "SELECT vec_id, CAST(embedding[1 + 8*least(greatest(vec_id % 13 - 2, 0), 7) + least(greatest(vec_id % 11 - 1, 0), 7)] AS DOUBLE) AS x FROM embeddings",
+    "goal_conf_filter": f"""SELECT DISTINCT id, 'goal' AS class, CAST(trunc(x1) AS INTEGER) AS x1, CAST(trunc(y1) AS INTEGER) AS y1, CAST(trunc(x2) AS INTEGER) AS x2, CAST(trunc(y2) AS INTEGER) AS y2,
+        coalesce(confidence, 0.3e0) AS confidence FROM {GO} WHERE coalesce(confidence, 0.3e0) >= 0.15e0""",
+    "reid_merged_numbers": f"""SELECT DISTINCT n.id, coalesce(m.root, n.player_id) AS player_id, n.number, n.confidence, n.frame_number
+        FROM players_numbers n LEFT JOIN {MERGES} m ON m.member = n.player_id""",
 }
