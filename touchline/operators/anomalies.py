@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from touchline.operators.lookup import lookup_join
+from touchline.operators.lookup import BROADCAST_BYTES, lookup_join
 from touchline.session import ship, written
 
 #: A source with more readings than this is spread over blocks of successive readings, of about BLOCK_ROWS each; its
@@ -600,17 +600,20 @@ def _in_blocks(readings: DataFrame, hot: DataFrame, measures: Sequence[Measure],
     for shown in around:
         blocks = blocks.unionByName(shown, allowMissingColumns=True)
     packed = written(blocks.repartition("src", "block").sortWithinPartitions("src", "block", "pos", "t", *names).mapInArrow(_packer(measures), f"src {src}, block long, body binary"), "blocks")
+    # a source's statistics have a bounded size, so the number of hot sources tells whether all of them may be broadcast
+    small = hot.count() * (1024 + 32 * len(measures) * (PHASE + limits.phases)) <= BROADCAST_BYTES
+    beside = F.broadcast if small else lambda found: found.hint("merge")
     found = hot.select("src", F.lit(None).cast("binary").alias("found"))
     for which in ROUNDS:
         counts = (
-            lookup_join(packed, found, ["src"])
+            packed.join(beside(found), "src")
             .mapInArrow(_counter(measures, limits, which), f"src {src}, k int, what int, bin long, n long")
             .groupBy("src", "k", "what", "bin")
             .agg(F.sum("n").alias("n"))
         )
         every = found.unionByName(counts, allowMissingColumns=True).repartition("src").sortWithinPartitions("src")
         found = written(every.mapInArrow(_finder(measures, limits, which), f"src {src}, found binary"), "statistics")
-    return lookup_join(packed, found, ["src"]).mapInArrow(_block_flagger(measures, limits), kind)
+    return packed.join(beside(found), "src").mapInArrow(_block_flagger(measures, limits), kind)
 
 
 def flag_implausible(
