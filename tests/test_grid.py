@@ -41,6 +41,23 @@ def test_gaps_over_many_shards(spark):
     assert out.where("status = 'filled'").agg({"dx_meters": "max"}).first()[0] <= 1.0 + 0.5
 
 
+def test_shards_beyond_one_arrow_batch(spark):
+    """A player with more shards than an Arrow batch has rows: all batches but the first hold no sums to solve."""
+    at, batch = [0, 2500, 3000, 6400, 7000, 9600, 12800, 14400], "spark.sql.execution.arrow.maxRecordsPerBatch"
+    rows = [(1, f, f / 100.0, float(np.sin(f))) for f in at]
+    cells = lambda: sorted(tuple(r) for r in regular_grid(frame(spark, rows)).collect())
+    whole, before = cells(), spark.conf.get(batch)
+    spark.conf.set(batch, 2)
+    try:
+        parts = cells()
+    finally:
+        spark.conf.set(batch, before)
+    assert len(whole) == 14400 // 25 + 1
+    assert {r[1] for r in whole if r[3] == "filled"} == set(range(0, 14401, 25)) - set(at)
+    assert [r[:4] for r in parts] == [r[:4] for r in whole]
+    assert np.allclose([r[4:] for r in parts], [r[4:] for r in whole], rtol=1e-9, atol=1e-9)
+
+
 def test_held_out_accuracy(spark):
     """A seasonal movement with a trend is predicted better inside long gaps than by straight lines."""
     rng = np.random.default_rng(3)

@@ -47,7 +47,7 @@ def _solver(size: int, n_values: int, ridge: float):
         penalty[:, 0], penalty[:, 1] = 1e-9 * n + 1e-12, 1e-3 * n + ridge
         a[:, np.arange(size), np.arange(size)] += penalty
         beta = np.linalg.solve(a[:, None], b[..., None])[..., 0]
-        beta = np.einsum("evi,eij->evj", beta, m).reshape(len(flat), -1)
+        beta = np.einsum("evi,eij->evj", beta, m).reshape(len(flat), n_values * size)  # a batch may hold no sums at all
         solved = pd.Series([None if k < 0.5 else x for k, x in zip(flat[:, 0], beta.tolist(), strict=True)], index=given.index, dtype=object)
         return solved.reindex(sums.index).where(lambda x: x.notna(), None)
 
